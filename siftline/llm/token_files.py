@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,24 +36,24 @@ from .common import partitions, scratch
 
 SEQ_LEN = 2048
 ROWS_PER_BATCH = 256
-#: Distinct chunks whose ids a task remembers.
-CACHE = 300_000
+#: Distinct segments whose ids a worker remembers before it starts anew: about 250 MB.
+CACHE = 1_200_000
+#: Longer segments are not remembered.
+REMEMBERED = 48
 END_ID = 0
 
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: A chunk of these pieces only is cut between them by the tokenizer as well.
-_PIECES = re.compile(rf" ?[{_LETTERS}]+| ?[.,;:!?#$%&*]+|\n")
-_SIMPLE = re.compile(rf"(?: ?[{_LETTERS}]++| ?[.,;:!?#$%&*]++)?(?:[{_LETTERS}]++|[.,;:!?#$%&*]++|\n(?!\s|$))*+")
-_ODD_SPACE = re.compile(r" (?!\S)")
-_CUT = re.compile(r" (?=\S)")
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?#$%&*"
+#: A word or a run of marks with the space before it, a line break, or else all up to a space that a non-space follows.
+_SEGMENT = re.compile(rf" ?[{_LETTERS}]++(?![^\W\d_])| ?[{_MARKS}]++(?![^\s\w]|_)|\n(?= ?\S)|[\s\S][^ ]*(?: (?!\S)[^ ]*)*")
 
 
 class Encoder:
-    """Whole texts to ids, as the tokenizer gives them, encoding each distinct chunk once.
+    """Whole texts to ids, as the tokenizer gives them, encoding each distinct segment once.
 
-    A byte-level BPE tokenizer never joins across a space that a non-space follows, so texts are cut in front of such
-    spaces, and the ids of the chunks are remembered. Chunks of plain words and marks are cut once more, into pieces that
-    the tokenizer separates too.
+    A byte-level BPE tokenizer splits a text into pre-tokens before it merges anything, and it always splits in front of a space
+    that a non-space follows, after a run of letters, and after a run of marks. Texts are cut at such places alone, so the ids of
+    the segments, one after the other, are those of the text. Segments are remembered, up to ``cache`` of them, for as long as the
+    worker lives.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
@@ -62,36 +63,35 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache, self.pieces, self.heads, self.tails = cache, {}, {}, {}
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
-        pieces, parts, whole = self.pieces, {}, []
-        for x in new:
-            if _SIMPLE.fullmatch(chunk := lead + x):
-                parts[x] = _PIECES.findall(chunk)
-            else:
-                whole.append(x)
-        fresh = list({p for x in parts.values() for p in x if p not in pieces})
-        pieces.update(zip(fresh, self._encode(fresh)))
-        known.update((x, b"".join([pieces[p] for p in ps])) for x, ps in parts.items())
-        known.update(zip(whole, self._encode([lead + x for x in whole])))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; null counts as empty."""
-        for d in (self.pieces, self.heads, self.tails):
-            if len(d) > self.cache:
-                d.clear()
-        split = [(t.split(" ") if _ODD_SPACE.search(t) is None else _CUT.split(t)) if t else [""] for t in texts]
-        heads, tails = {s[0] for s in split}, set()
-        for s in split:
-            tails.update(s[1:])
-        self._learn(self.heads, [x for x in heads if x not in self.heads], "")
-        self._learn(self.tails, [x for x in tails if x not in self.tails], " ")
-        get = self.tails.__getitem__
-        return [self.heads[s[0]] + b"".join(map(get, s[1:])) for s in split]
+        self.cache, self.known = cache, {}
+
+    def _learn(self, segments: list[str]) -> None:
+        found = self.tokenizer.encode_batch(segments, add_special_tokens=False)
+        self.known.update(zip(segments, [array("I", e.ids).tobytes() for e in found]))
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text as unsigned 32-bit integers; null counts as empty."""
+        known = self.known
+        for text in texts:
+            segments = _SEGMENT.findall(text) if text else []
+            if new := {s for s in segments if s not in known}:
+                self._learn(list(new))
+            yield b"".join(map(known.__getitem__, segments))
+            for s in [s for s in new if len(s) > REMEMBERED]:
+                del known[s]
+            if len(known) > self.cache:
+                known.clear()
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker: tasks that follow on it find what earlier ones have learned."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 @dataclass(frozen=True)
@@ -117,17 +117,6 @@ def _filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
 
-def _slices(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    first = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) if t else 0
-        if size >= most:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 class _Writer:
     """Appends ids to a part, a full record batch at a time."""
 
@@ -180,7 +169,7 @@ def write_token_files(
     dealt = rows.repartitionByRange(n, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = writer = index = None
+        encoder = writer = index = end = None
         number, name = TaskContext.get().partitionId(), ""
         count = 0
         fs = root = None
@@ -188,8 +177,9 @@ def write_token_files(
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = Encoder(tokenizer_path)
+                encoder = worker_encoder(tokenizer_path)
                 dtype = np.dtype(np.uint16 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32)
+                end = array("I", [end_id]).tobytes()
                 fs, root = _filesystem(folder)
                 fs.create_dir(root, recursive=True)
                 name = f"part-{number:06d}-{uuid.uuid4().hex}"
@@ -200,11 +190,10 @@ def write_token_files(
             texts = batch.column("text").to_pylist()
             sizes = []
             before = writer.n
-            for a, b in _slices(texts):
-                for ids in encoder.encode(texts[a:b]):
-                    ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
-                    writer.append(ids)
-                    sizes.append(len(ids))
+            for ids in encoder.encode(texts):
+                ids = np.frombuffer(ids + end, np.uint32)
+                writer.append(ids)
+                sizes.append(len(ids))
             sizes = np.array(sizes, np.int64)
             index.write_batch(pa.RecordBatch.from_arrays([batch.column("id"), pa.array(before + np.cumsum(sizes) - sizes), pa.array(sizes)], schema=schema))
             count += batch.num_rows
