@@ -15,13 +15,13 @@ def latest(artifacts: DataFrame, key: str = "key") -> DataFrame:
 
 def lookup(requests: DataFrame, artifacts: DataFrame, as_of, ttl_seconds: int = TTL_SECONDS, key: str = "key") -> DataFrame:
     """Requests with the artifact that is valid at as_of, and whether there is one."""
-    valid = latest(artifacts, key).filter(F.unix_micros(as_of) - F.unix_micros("written_at") <= ttl_seconds * 1_000_000)
+    valid = latest(artifacts, key).filter(F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("written_at").cast("timestamp")) <= ttl_seconds * 1_000_000)
     return requests.join(valid.select(key, "value"), key, "left").withColumn("from_cache", F.col("value").isNotNull())
 
 
 def misses(requests: DataFrame, artifacts: DataFrame, as_of, ttl_seconds: int = TTL_SECONDS, key: str = "key") -> DataFrame:
     """The distinct keys to fetch."""
-    valid = latest(artifacts, key).filter(F.unix_micros(as_of) - F.unix_micros("written_at") <= ttl_seconds * 1_000_000)
+    valid = latest(artifacts, key).filter(F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("written_at").cast("timestamp")) <= ttl_seconds * 1_000_000)
     return requests.select(key).distinct().join(valid, key, "left_anti")
 
 
@@ -31,7 +31,7 @@ def simulate(accesses: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     A key is stored at its first access and again at the first one later than the store's expiry. The chain of stores is
     folded over the key's sorted accesses.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), "seq")))
+    ordered = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "seq")))
     start = F.struct(F.lit(None).cast("bigint").alias("stored"), F.array().cast("array<struct<seq:bigint,hit:boolean>>").alias("out"))
     live = lambda s, a: F.coalesce(a["t"] - s["stored"] <= ttl_seconds * 1_000_000, F.lit(False))
     step = lambda s, a: F.struct(F.when(live(s, a), s["stored"]).otherwise(a["t"]).alias("stored"), F.array_append(s["out"], F.struct(a["seq"].alias("seq"), live(s, a).alias("hit"))).alias("out"))

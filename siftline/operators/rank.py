@@ -75,7 +75,7 @@ def engine_bonus(engines: Column) -> Column:
 
 def is_recent(published_at: Column, as_of: Column) -> Column:
     """Published from 90 days before to the time itself."""
-    age = F.unix_micros(as_of) - F.unix_micros(published_at)
+    age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(published_at.cast("timestamp"))
     return F.coalesce(age.between(0, RECENT_DAYS * 86_400_000_000), F.lit(False))
 
 

@@ -18,3 +18,12 @@ def get_session(name: str = "siftline", **conf: str) -> SparkSession:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a folder of Parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, computed once: checkpointed in the shared folder of spark.checkpoint.dir, which a lost executor does not
+    take with it. Where no folder is set, one under /tmp is, as in local runs."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir("/tmp/checkpoints/siftline")
+    return df.checkpoint()

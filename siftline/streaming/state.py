@@ -26,7 +26,7 @@ def refill(tokens: float | None, last_ms: int | None, now_ms: int, rate: float,
 
 def token_bucket(requests: DataFrame, rate: float = RATE, burst: float = BURST) -> DataFrame:
     """R1 over requests (key, ts, seq): key, seq, allowed, tokens (left)."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.unix_millis("ts").alias("t"), "seq")))
+    ordered = F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), "seq")))
     start = F.struct(F.lit(float(burst)).alias("tokens"), F.lit(None).cast("bigint").alias("t"), F.array().cast("array<struct<seq:bigint,allowed:boolean,tokens:double>>").alias("out"))
 
     def step(s, r):
@@ -92,7 +92,7 @@ def bucket_in_pandas_with_state(requests: DataFrame, rate: float = RATE, burst:
 def cooldown(outcomes: DataFrame, cooldown_seconds: int = 30) -> DataFrame:
     """R5 over calls (instance, ts, seq, ok): whether the instance was cooling when the call came. An error starts the cooldown,
     a success ends it."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), "seq", "ok")))
+    ordered = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "seq", "ok")))
     start = F.struct(F.lit(None).cast("bigint").alias("until"), F.array().cast("array<struct<seq:bigint,cooling:boolean>>").alias("out"))
 
     def step(s, c):
