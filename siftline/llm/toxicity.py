@@ -186,13 +186,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     marks = marks.groupBy("id").agg(F.max("toxic").alias("toxic"))
     rest = id_remainder(F.col("id"), 5)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("text is not null")
-    counts = materialize(count_grams(rows.filter(rest > 1).join(marks.filter(rest > 1), "id")), "grams")
+    # labels grow with the corpus: they meet the texts by a shuffle at any size
+    counts = materialize(count_grams(rows.filter(rest > 1).join(marks.filter(rest > 1).hint("merge"), "id")), "grams")
     model = _fold(counts)
     discard(counts)
     keen = marks.filter(rest == 1)
     share = min(1.0, CALIBRATION_ROWS / max(1, keen.count()))
     keen = keen.filter(F.xxhash64("id") <= F.lit(min(2**63 - 1, int((share - 0.5) * 2**64))))
-    calibrate(model, rows.filter(rest == 1).join(keen, "id"))
+    calibrate(model, rows.filter(rest == 1).join(F.broadcast(keen), "id"))  # about CALIBRATION_ROWS pairs of numbers
     return model
 
 
