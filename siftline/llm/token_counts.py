@@ -1,14 +1,18 @@
 """Token counts: unigram segmentation by dynamic programming over a trie of pre-tokens.
 
-A pre-token is a run of spaces with the non-spaces behind it. Its token count is that of its best segmentation into the pieces of a public
-vocabulary, the one of the highest sum of piece scores (of equal ones: the fewest tokens). A task
-inserts its distinct pre-tokens in a trie of their characters. The forward score of a node, the best over the pieces that end there,
-depends on the node's prefix alone, so it is computed once for all pre-tokens that share it; a terminal node
-stores the count. The counts of a document are then sums of terminal counts. Nothing is shuffled, and the trie is
-rebuilt when it has grown to ``MAX_NODES``.
-
-Scores are ``-ln(rank + 1)``, up to a constant that is the same for all pieces: Zipf's law over the ranks of the vocabulary.
-Characters outside the vocabulary count one token for each UTF-8 byte.
+A pre-token is a run of spaces with the non-spaces behind it. Its token count is that of its best segmentation into the
+pieces of a public vocabulary: the one of the highest sum of piece scores (of equal ones, of the fewest tokens). A worker
+inserts the distinct pre-tokens that are new to it in a trie of their characters. The forward score of a node, the best
+over the pieces that end there, depends on the node's prefix alone and is computed once for all pre-tokens that share it; a
+node where a pre-token ends stores its count. The counts of a document are sums of these terminal counts. Nothing is
+shuffled.
+
+The trie is built level by level: in sorted order the words under a node stand together, so the nodes of a level are where
+the common prefix with the word before ends. Each level keeps, for every node, the hashes of its last 1 to 16 characters and the
+scores of its last 16 ancestors, which is all that the next level needs.
+
+Scores are ``-ln(rank + 1)``, normalised: Zipf's law over the ranks of the vocabulary. A character outside the vocabulary counts
+one token for each of its UTF-8 bytes, each a unit below the worst piece.
 """
 
 from __future__ import annotations
@@ -17,17 +21,22 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-#: Trie nodes a task keeps, about 150 MB.
-MAX_NODES = 600_000
-#: Longer pre-tokens are scored without being inserted.
-MAX_INSERTED = 128
-#: Texts longer than this many characters are cut between pre-tokens while counting.
+#: Pre-tokens whose counts a worker remembers before it starts anew: about 150 MB.
+MAX_KNOWN = 1_000_000
+#: (longest word, words in one trie): a level holds a few hundred bytes a word.
+WIDTHS = ((24, 60_000), (96, 20_000), (256, 8_000))
+#: Texts are counted in slices of so many characters.
+SLICE = 8_000_000
+
 COUNT_TYPE = "struct<n_pretokens: bigint, n_tokens: bigint>"
 
 _SPACED = re.compile(r" *[^ ]+| +")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_FILTER_BITS = 21
 
 
 def load_vocabulary(path: str) -> dict[str, float]:
@@ -45,92 +54,140 @@ def load_vocabulary(path: str) -> dict[str, float]:
     return out
 
 
+def pretokens(text: str | None) -> list[str]:
+    """The pre-tokens of the text with a space put in front, each without its first space."""
+    if not text:
+        return []
+    if text[0] == " " or text[-1] == " " or "  " in text:
+        return [p[1:] for p in _SPACED.findall(" " + text)]
+    return text.split(" ")
+
+
 class Counter:
-    """Token counts of texts, over a trie that grows with the distinct pre-tokens."""
+    """Token counts of texts, remembering those of the pre-tokens seen."""
 
-    def __init__(self, vocabulary: dict[str, float], max_nodes: int = MAX_NODES):
-        self.scores, self.max_nodes = vocabulary, max_nodes
+    def __init__(self, vocabulary: dict[str, float], max_known: int = MAX_KNOWN):
+        self.scores, self.max_known, self.known = vocabulary, max_known, {}
         self.longest = max(map(len, vocabulary), default=1)
-        self.byte = min(vocabulary.values(), default=0.0) - 1.0  # an unknown byte is worse than any piece
-        self.clear()
-
-    def clear(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
-        self.best, self.count = [0.0], [0]
-        self.terminal: dict[str, int] = {}
-
-    def _forward(self, word: str, end: int, best: list[float], count: list[int]) -> tuple[float, int]:
-        """The forward score and count at ``end``, given those of all shorter prefixes of the word."""
-        n = len(word[end - 1].encode())
-        top, tokens = best[end - 1] + n * self.byte, count[end - 1] + n
-        get = self.scores.get
-        for start in range(max(0, end - self.longest), end):
-            score = get(word[start:end])
-            if score is not None:
-                score += best[start]
-                if score > top or (score == top and count[start] + 1 < tokens):
-                    top, tokens = score, count[start] + 1
-        return top, tokens
-
-    def insert(self, word: str) -> int:
-        """Insert a pre-token; returns its count."""
-        if len(word) > MAX_INSERTED:
-            return self._alone(word)
-        node, best, count = 0, [0.0], [0]
-        children = self.children
-        for end, c in enumerate(word, 1):
-            after = children[node].get(c)
-            if after is None:
-                after = children[node][c] = len(children)
-                top, tokens = self._forward(word, end, best, count)
-                children.append({})
-                self.best.append(top)
-                self.count.append(tokens)
-            node = after
-            best.append(self.best[node])
-            count.append(self.count[node])
-        self.terminal[word] = count[-1]
-        return count[-1]
+        self.byte = min(vocabulary.values(), default=0.0) - 1.0
+        keyed = sorted((self._hash(p), s) for p, s in vocabulary.items())
+        self.keys, self.values = np.array([k for k, _ in keyed], np.uint64), np.array([s for _, s in keyed])
+        assert len(set(self.keys.tolist())) == len(self.keys)
+        self.filter = np.zeros(1 << _FILTER_BITS, bool)
+        self.filter[self._slot(self.keys)] = True
+        self.nodes = 0
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * int(_BASE) + ord(c) + 1) & (1 << 64) - 1
+        return h
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - _FILTER_BITS)
+
+    def _trie(self, words: list[str]) -> list[int]:
+        """Counts of sorted, distinct words, by one trie of all."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        width = int(sizes.max())
+        codes = np.array(words, f"U{width}").view(np.uint32).reshape(len(words), width)
+        differ = codes[1:] != codes[:-1]
+        common = np.concatenate([[-1], np.where(differ.any(1), differ.argmax(1), width)])
+        common[1:] = np.minimum(common[1:], np.minimum(sizes[1:], sizes[:-1]))
+        out = np.zeros(len(words), np.int64)
+        alive = np.arange(len(words))
+        node_of = np.zeros(len(words), np.int64)  # of each alive word, in the level before
+        tails = np.zeros((0, 1), np.uint64)  # tails[k]: hash of the last k + 1 characters
+        best, count = np.zeros((1, 1)), np.zeros((1, 1), np.int64)  # [k]: of the ancestor k levels up
+        for depth in range(1, width + 1):
+            stays = sizes[alive] >= depth
+            alive, node_of = alive[stays], node_of[stays]
+            new = common[alive] < depth
+            new[0] = True
+            parent, character = node_of[new], codes[alive[new], depth - 1].astype(np.uint64)
+            node_of = np.cumsum(new) - 1
+            self.nodes += len(parent)
+            tails = np.concatenate([character[None] + np.uint64(1), tails[: self.longest - 1, parent] * _BASE + (character + np.uint64(1))])
+            best, count = best[: self.longest, parent], count[: self.longest, parent]
+            n_bytes = 1 + (character >= 0x80).astype(np.int64) + (character >= 0x800) + (character >= 0x10000)
+            top, tokens = best[0] + n_bytes * self.byte, count[0] + n_bytes
+            for k in range(min(depth, self.longest)):
+                at = np.flatnonzero(self.filter[self._slot(tails[k])])
+                if not len(at):
+                    continue
+                place = np.minimum(np.searchsorted(self.keys, tails[k, at]), len(self.keys) - 1)
+                real = self.keys[place] == tails[k, at]
+                at, score = at[real], self.values[place[real]] + best[k, at[real]]
+                better = (score > top[at]) | ((score == top[at]) & (count[k, at] + 1 < tokens[at]))
+                at = at[better]
+                top[at], tokens[at] = score[better], count[k, at] + 1
+            best, count = np.concatenate([top[None], best]), np.concatenate([tokens[None], count])
+            ends = sizes[alive] == depth
+            out[alive[ends]] = tokens[node_of[ends]]
+        return out.tolist()
 
     def _alone(self, word: str) -> int:
-        best, count = [0.0], [0]
+        """The count of one very long word."""
+        best, count, get = [0.0], [0], self.scores.get
         for end in range(1, len(word) + 1):
-            top, tokens = self._forward(word, end, best, count)
+            n = len(word[end - 1].encode())
+            top, tokens = best[-1] + n * self.byte, count[-1] + n
+            for start in range(max(0, end - self.longest), end):
+                score = get(word[start:end])
+                if score is not None:
+                    score += best[start]
+                    if score > top or (score == top and count[start] + 1 < tokens):
+                        top, tokens = score, count[start] + 1
             best.append(top)
             count.append(tokens)
         return count[-1]
 
+    def learn(self, keys: set[str]) -> None:
+        """Count pre-tokens, given without their first space."""
+        low = 0
+        for high, most in WIDTHS:
+            own = sorted(k for k in keys if low <= len(k) < high)
+            for i in range(0, len(own), most):
+                part = own[i : i + most]
+                self.known.update(zip(part, self._trie([" " + k for k in part])))
+            low = high
+        self.known.update((k, self._alone(" " + k)) for k in keys if len(k) >= low)
+
     def of(self, texts: list[str | None]) -> Iterator[tuple[int, int]]:
         """(pre-tokens, tokens) of each text."""
-        for text in texts:
-            if len(self.children) > self.max_nodes:
-                self.clear()
-            words = pretokens(text)
-            terminal = self.terminal
-            try:
-                yield len(words), sum(map(terminal.__getitem__, words))
-            except KeyError:
-                extra = {w: self.insert(w) for w in sorted(set(words) - terminal.keys())}
-                get = terminal.get
-                yield len(words), sum(n if (n := get(w)) is not None else extra[w] for w in words)
+        first = size = 0
+        for i, text in enumerate(texts):
+            size += len(text) if text else 0
+            if size >= SLICE or i == len(texts) - 1:
+                split = [pretokens(t) for t in texts[first : i + 1]]
+                known = self.known
+                self.learn({w for words in split for w in words if w not in known})
+                get = known.__getitem__
+                for words in split:
+                    yield len(words), sum(map(get, words))
+                first, size = i + 1, 0
+                if len(known) > self.max_known:
+                    known.clear()
 
 
-def pretokens(text: str | None) -> list[str]:
-    """The text, with a space put in front, as runs of spaces with the non-spaces behind them."""
-    if not text:
-        return []
-    if text[0] == " " or text[-1] == " " or "  " in text:
-        return _SPACED.findall(" " + text)
-    return [" " + w for w in text.split(" ")]
+_COUNTERS: dict[tuple[str, int], Counter] = {}
+
+
+def worker_counter(path: str, max_known: int) -> Counter:
+    """The counter of this Python worker: tasks that follow on it find what earlier ones have learned."""
+    if (path, max_known) not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[path, max_known] = Counter(load_vocabulary(path), max_known)
+    return _COUNTERS[path, max_known]
 
 
-def count_tokens(vocabulary_path: str, max_nodes: int = MAX_NODES):
-    """A column function: text -> n_pretokens, n_tokens. Null and empty texts have none."""
+def count_tokens(vocabulary_path: str, max_known: int = MAX_KNOWN):
+    """A column function: text -> n_pretokens, n_tokens. Null and empty texts have none; repeated rows count alike."""
 
     @F.pandas_udf(COUNT_TYPE)
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        counter = Counter(load_vocabulary(vocabulary_path), max_nodes)
-        for column in batches:
-            yield pd.DataFrame(list(counter.of(list(column))), columns=["n_pretokens", "n_tokens"])
+    def count(column: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(list(worker_counter(vocabulary_path, max_known).of(list(column))), columns=["n_pretokens", "n_tokens"])
 
     return count

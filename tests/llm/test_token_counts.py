@@ -1,4 +1,5 @@
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -24,23 +25,34 @@ def brute(word, scores, byte):
     return best[len(word)][1]
 
 
+def counts(counter, words):
+    counter.learn(set(words))
+    return [counter.known[w] for w in words]
+
+
 def test_trie_equals_brute_force_and_shares_prefixes():
     counter = T.Counter(VOCABULARY)
-    words = [" the", " there", " thee", " t", " éx", " " + "the" * 100, " 日本"]
-    assert [counter.insert(w) for w in words] == [brute(w, VOCABULARY, counter.byte) for w in words]
-    nodes = len(counter.children)
-    counter.insert(" them")
-    assert len(counter.children) == nodes + 1  # only the last letter is new
+    words = ["the", "there", "thee", "t", "éx", "the" * 20, "the" * 100, "日本", "", " ", "  the", "🙂", "a\x00b"]
+    assert counts(counter, words) == [brute(" " + w, VOCABULARY, counter.byte) for w in words]
+    assert len({w[:i] for w in (" the", " there", " thee", " them") for i in range(1, len(w) + 1)}) == 8
+    counter.nodes = 0
+    counter.learn({"the", "there", "thee", "them"})
+    assert counter.nodes == 8  # a node for each distinct prefix
+
+
+def test_random_words_equal_brute_force():
+    rng, counter = random.Random(3), T.Counter(VOCABULARY)
+    words = sorted({"".join(rng.choice("the rx") for _ in range(rng.randint(0, 40))) for _ in range(2000)})
+    assert counts(counter, words) == [brute(" " + w, VOCABULARY, counter.byte) for w in words]
 
 
 def test_equals_the_unigram_model_of_the_tokenizers_library():
     from tokenizers import Tokenizer, models
 
     scores = T.load_vocabulary(tokenizer_path("piece_bpe_32k.model"))
-    known = [w for w in (" hello", " information", " retrieval", " antidisestablishmentarianism", " zebra", " Straße")]
+    known = ["hello", "information", "retrieval", "antidisestablishmentarianism", "zebra", "Straße"]
     model = Tokenizer(models.Unigram([("<unk>", -100.0), *scores.items()], unk_id=0, byte_fallback=False))
-    counter = T.Counter(scores)
-    assert [counter.insert(w) for w in known] == [len(model.encode(w).ids) for w in known]
+    assert counts(T.Counter(scores), known) == [len(model.encode(" " + w).ids) for w in known]
 
 
 def test_scores_are_normalised_over_the_ranks():
@@ -50,18 +62,18 @@ def test_scores_are_normalised_over_the_ranks():
 
 def test_pretokens_keep_every_character():
     for text in ("a b", " a  b ", "  ", "a", "x\ny z"):
-        assert "".join(T.pretokens(text)) == " " + text
+        assert "".join(" " + p for p in T.pretokens(text)) == " " + text
     assert T.pretokens(None) == T.pretokens("") == []
 
 
-def test_counts_of_odd_documents_do_not_depend_on_the_size_of_the_trie(spark, odd_docs, no_docs, texts):
+def test_counts_of_odd_documents_do_not_depend_on_what_is_remembered(spark, odd_docs, no_docs, texts):
     path = tokenizer_path("piece_bpe_32k.model")
     run = lambda most: sorted(odd_docs.select("doc_id", T.count_tokens(path, most)("text").alias("c")).select("doc_id", "c.*").collect(), key=str)
-    full = run(T.MAX_NODES)
+    full = run(T.MAX_KNOWN)
     assert full == run(10) and len(full) == odd_docs.count()
     scores = T.load_vocabulary(path)
     counter = T.Counter(scores)
-    expected = {i: sum(brute(w, scores, counter.byte) for w in T.pretokens(t)) for i, t in enumerate(texts) if not t or len(t) < 500}
+    expected = {i: sum(brute(" " + w, scores, counter.byte) for w in T.pretokens(t)) for i, t in enumerate(texts) if not t or len(t) < 500}
     got = {r.doc_id: r.n_tokens for r in full}
     assert all(got[i] == n for i, n in expected.items())
     assert no_docs.select(T.count_tokens(path)("text")).count() == 0
