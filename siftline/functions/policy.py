@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import any_of
 from .urls import host, scheme
@@ -13,6 +17,9 @@ PRIVATE_BLOCKS = [
     "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "100.64.0.0/10", "192.0.0.0/24", "192.0.2.0/24",
     "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
 ]
+PRIVATE_V6_BLOCKS = ["::1/128", "fc00::/7", "fe80::/10", "ff00::/8"]
+#: Presets as rows of a policy table: (name, schemes, max redirects, private addresses allowed).
+POLICIES = [("external", ["http", "https"], 5, False), ("internal", ["http", "https"], 5, True)]
 MAX_BODY, MAX_DECOMPRESSED = 5 << 20, 20 << 20
 ALLOWED_TYPES = ["text/html", "application/xhtml+xml", "text/plain"]
 JS_RAW_BYTES, JS_TEXT_BYTES, JS_SCRIPT_SHARE = 1024, 200, 0.5
@@ -39,6 +46,35 @@ def is_public_ipv4(address: Column) -> Column:
     return F.when(is_ipv4(address), ~any_of([number == 0, *inside]))
 
 
+@F.pandas_udf(T.BooleanType())
+def _is_public_v6(address: pd.Series) -> pd.Series:
+    blocks = [ipaddress.ip_network(b) for b in PRIVATE_V6_BLOCKS]
+    v4_blocks = [ipaddress.ip_network(b) for b in PRIVATE_BLOCKS]
+
+    def public(text: str | None) -> bool | None:
+        try:
+            ip = ipaddress.IPv6Address(text or "")
+        except ValueError:
+            return None
+        if ip.ipv4_mapped is not None:
+            return int(ip.ipv4_mapped) != 0 and not any(ip.ipv4_mapped in b for b in v4_blocks)
+        return int(ip) != 0 and not any(ip in b for b in blocks)
+
+    return address.map(public)
+
+
+def is_public_ip(address: Column) -> Column:
+    """P22 for both families: IPv4 by ranges; IPv6, with embedded IPv4 addresses judged as such, by an Arrow UDF. Null for no address."""
+    return F.when(F.contains(address, F.lit(":")), _is_public_v6(address)).otherwise(is_public_ipv4(address))
+
+
+def choose_user_agent(url: Column, override: Column, default: Column, pool: Column, respect_robots: Column) -> Column:
+    """the override; the default where robots are respected or the pool is empty; else one of the pool, by the hash of the URL, so that
+    reruns agree."""
+    picked = F.element_at(pool, (F.pmod(F.xxhash64(url), F.greatest(F.size(pool), F.lit(1))) + 1).cast("int"))
+    return F.when(F.coalesce(override, F.lit("")) != "", override).when(respect_robots | (F.size(pool) == 0), default).otherwise(picked)
+
+
 def egress_reason(url: Column, schemes: Column, deny: Column, allow: Column, allow_private: Column, answers: Column) -> Column:
     """The first reason to block, or null. answers: the addresses that the host resolves to, null if it does not."""
     h = host(url)

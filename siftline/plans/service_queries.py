@@ -205,6 +205,16 @@ def ip_public(spark: SparkSession, folder: str) -> DataFrame:
     return literal(spark, IP_ROWS, "id int, ip string").select("id", F.when(public, "public").when(~public, "private").otherwise("no IPv4 address").alias("kind"))
 
 
+IP6_ROWS = [(1, "2606:4700::1111", "public"), (2, "::1", "private"), (3, "fc00::1", "private"), (4, "::ffff:10.0.0.1", "private"), (5, "::ffff:8.8.8.8", "public"), (6, "1:2", "no address"), (7, "1.1.1.1", "public")]
+
+
+@query("ip_public_v6", f"SELECT id, kind FROM ({values(IP6_ROWS)}) v(id, ip, kind)")
+def ip_public_v6(spark: SparkSession, folder: str) -> DataFrame:
+    """DuckDB has no IPv6 ranges to check with, so the SQL holds the expected answers."""
+    public = policy.is_public_ip(F.col("ip"))
+    return literal(spark, IP6_ROWS, "id int, ip string, expected string").select("id", public.alias("p")).select("id", F.when(F.col("p"), "public").when(~F.col("p"), "private").otherwise("no address").alias("kind"))
+
+
 EGRESS_ROWS = [
     (1, "https://ok.example/", [], [], False, ["1.1.1.1"]), (2, "ftp://ok.example/", [], [], False, ["1.1.1.1"]), (3, "https:///x", [], [], False, []), (4, "https://Bad.example/", ["bad.example"], [], False, ["1.1.1.1"]),
     (5, "https://other.example/", [], ["ok.example"], False, ["1.1.1.1"]), (6, "https://10.0.0.1/", [], [], False, []), (7, "https://10.0.0.1/", [], [], True, []), (8, "https://8.8.8.8/", [], [], False, []),
@@ -339,6 +349,12 @@ def cooldown_sim(spark: SparkSession, folder: str) -> DataFrame:
 # metrics -------------------------------------------------------------------------------------------------------------
 
 
+@query("engine_health_latest", "SELECT user_id % 12 AS engine, arg_max(event_type = 'error', ts) AS unhealthy FROM events GROUP BY ALL")
+def engine_health_latest(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "events").select((F.col("user_id") % 12).alias("engine"), (F.col("event_type") == "error").alias("bad"), "ts")
+    return state.engine_health_update(rows)
+
+
 @query("engine_health", "WITH e AS (SELECT ts, 'e' || (user_id % 12) AS engine, event_type = 'error' OR event_id % 11 = 0 AS bad FROM events) SELECT engine, coalesce(max(ts) FILTER (WHERE bad) = (SELECT max(ts) FROM e), false) AS unhealthy FROM e GROUP BY engine")
 def engine_health(spark: SparkSession, folder: str) -> DataFrame:
     engine, bad = F.concat(F.lit("e"), (F.col("user_id") % 12).cast("string")), (F.col("event_type") == "error") | (F.col("event_id") % 11 == 0)

@@ -103,6 +103,28 @@ def cooldown(outcomes: DataFrame, cooldown_seconds: int = 30) -> DataFrame:
     return folded.select("instance", F.explode("out").alias("o")).select("instance", "o.seq", "o.cooling")
 
 
+def cooldown_stream(outcomes: DataFrame, cooldown_seconds: int = 30) -> DataFrame:
+    """R5 as a stream on any state store: instance, seq, cooling."""
+
+    def step(key, batches, state):
+        until = state.get[0] if state.exists else None
+        for batch in batches:
+            out = []
+            for ts, seq, ok in sorted(zip(batch["ts"], batch["seq"], batch["ok"])):
+                now = int(pd.Timestamp(ts).timestamp() * 1_000_000)
+                out.append((key[0], seq, until is not None and now < until))
+                until = None if ok else now + cooldown_seconds * 1_000_000
+            yield pd.DataFrame(out, columns=["instance", "seq", "cooling"])
+        state.update((until,))
+
+    return outcomes.groupBy("instance").applyInPandasWithState(step, "instance long, seq long, cooling boolean", "until long", "append", "NoTimeout")
+
+
+def engine_health_update(outcomes: DataFrame) -> DataFrame:
+    """The latest verdict of each engine; on a stream, an update-mode table (engine, unhealthy)."""
+    return outcomes.groupBy("engine").agg(F.max_by("bad", "ts").alias("unhealthy"))
+
+
 def windowed_counts(events: DataFrame, label: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts by event-time window and label; on a stream, late rows are waited for as long as ``late``."""
     if events.isStreaming:

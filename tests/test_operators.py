@@ -236,6 +236,30 @@ def test_token_bucket_stream_equals_the_fold(spark, tmp_path):
     assert {(r.key, r.seq): r.allowed for r in spark.table("bucket").collect()} == want
 
 
+def test_cooldown_stream_equals_the_fold(spark, tmp_path):
+    rows = [(i % 2, datetime(2024, 1, 1) + timedelta(seconds=11 * i), i, i % 5 != 0) for i in range(60)]
+    frame = spark.createDataFrame(rows, "instance long, ts timestamp, seq long, ok boolean")
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    running = state.cooldown_stream(stream).writeStream.format("memory").queryName("cooldown").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    running.awaitTermination(90)
+    want = sorted(map(tuple, state.cooldown(frame).collect()))
+    assert sorted(map(tuple, spark.table("cooldown").collect())) == want and len({w[2] for w in want}) == 2
+
+
+@pytest.mark.parametrize(
+    "ip, public",
+    [("2606:4700::1111", True), ("::1", False), ("::", False), ("fc00::1", False), ("fe80::1", False), ("ff02::1", False), ("::ffff:10.0.0.1", False), ("::ffff:8.8.8.8", True), ("8.8.8.8", True), ("10.0.0.1", False), ("example.com", None), ("1:2", None)],
+)
+def test_addresses_of_both_families(spark, ip, public):
+    assert one(spark, policy.is_public_ip(F.col("ip")), ip=ip) is public
+
+
+def test_user_agents(spark):
+    choose = lambda override, respect, pool: one(spark, policy.choose_user_agent(F.lit("https://a.example"), F.col("o"), F.lit("default"), F.col("p"), F.lit(respect)), o=override, p=pool)
+    assert choose("mine", False, ["x"]) == "mine" and choose("", True, ["x"]) == "default" and choose("", False, []) == "default" and choose("", False, ["x", "y"]) in ("x", "y")
+
+
 def test_token_bucket_with_state_store(spark, tmp_path):
     rows = [(1, datetime(2024, 1, 1) + timedelta(milliseconds=100 * i), i) for i in range(30)]
     frame = spark.createDataFrame(rows, "key long, ts timestamp, seq long")
