@@ -259,7 +259,7 @@ def bm25_corpus_stats(spark: SparkSession, folder: str) -> DataFrame:
     return idf.select("query_id", "term", "df", "n_docs", F.round("avg_len", 6).alias("avg_len"), F.round("idf", 6).alias("idf"))
 
 
-@query("bm25_term_freq", f"WITH {_TERMS_SQL} SELECT query_id, doc_id, term, repeats::INTEGER AS repeats, dl::INTEGER AS dl, tf FROM f WHERE tf > 0")
+@query("bm25_term_freq", f"WITH {_TERMS_SQL} SELECT query_id, doc_id, term, repeats::INTEGER AS repeats, dl::INTEGER AS dl, tf::DOUBLE AS tf FROM f WHERE tf > 0")
 def bm25_term_freq(spark: SparkSession, folder: str) -> DataFrame:
     rows = candidates(spark, folder)
     found = rank.term_frequencies(rank.token_profile(rows, "doc_id"), "doc_id").join(rank.query_terms(rows), ["query_id", "term"])

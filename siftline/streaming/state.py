@@ -129,4 +129,4 @@ def windowed_counts(events: DataFrame, label: str, width: str = "1 hour", late:
     """Counts by event-time window and label; on a stream, late rows are waited for as long as ``late``."""
     if events.isStreaming:
         events = events.withWatermark("ts", late)
-    return events.groupBy(F.window("ts", width).alias("w"), label).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), label, "n")
+    return events.groupBy(F.window("ts", width).alias("w"), label).agg(F.count("*").alias("n")).select(F.col("w.start").cast("timestamp").alias("start"), label, "n")
