@@ -25,7 +25,8 @@ from .common import partitions
 SEPARATOR = "\x00"
 #: Sorts above every key that starts with the string before it.
 TOP = "\U0010ffff"
-SAMPLE_PER_RANGE = 64
+#: Keys that the ranges are taken from: about so many for each range, and about so many in all at most.
+SAMPLE_PER_RANGE, SAMPLE_ROWS = 64, 20_000
 
 _ROUTED = "pid int, key string, kind int, page string, host string, path string, own boolean, rule string, verdict string, level int"
 _JUDGED = "page string, host string, path string, own boolean, rule string, verdict string, size int, level int"
@@ -114,7 +115,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", ur
     host, path = split_url(F.col(url))
     urls = pages.select(F.col(page_id).cast("string").alias("page"), host.alias("host"), path.alias("path"))
     n = partitions(spark)
-    sample = urls.orderBy(F.xxhash64("page", "host", "path")).limit(n * SAMPLE_PER_RANGE).collect()
+    share = min(1.0, min(n * SAMPLE_PER_RANGE, SAMPLE_ROWS) / max(1, pages.count()))
+    sample = urls.sample(share, seed=42).collect()  # for the bounds alone: every row is judged
     keys = sorted((".".join(r.host.split(".")[::-1][:i]) + SEPARATOR + r.path, r.page or "") for r in sample for i in range(1, r.host.count(".") + 2))
     bounds = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
     routed = urls.mapInArrow(_router(bounds, False), _ROUTED).unionByName(
