@@ -44,6 +44,32 @@ def chunk_tokens(text: Column) -> Column:
     return F.transform(rank_tokens(text), strip)
 
 
+#: A token of more than three bytes that ends in ``s``: what stands before the s has three bytes or more.
+_PLURAL = r"(?<= )([^ ]{3,}|[^\x00-\x7F ][^ ]|[^ ][^\x00-\x7F ]|[\x{0800}-\x{10FFFF}])s(?= )"
+
+
+def chunk_token_string(text: Column) -> Column:
+    """F4 as one string, ``"  one  two  "``: each token between spaces of its own. Counting a token or finding a run of tokens is then a
+    plain substring operation, and all steps are regular expressions within generated code."""
+    spaced = F.concat(F.lit("  "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+", "  "), F.lit("  "))
+    longer = F.regexp_replace(F.regexp_replace(spaced, r"(?<= )[\x00-\x7F](?= )", ""), " {3,}", "  ")
+    return F.regexp_replace(longer, _PLURAL, "$1")
+
+
+def tokens_in(token_string: Column) -> Column:
+    return ((F.length(token_string) - F.length(F.replace(token_string, F.lit("  ")))) / 2 - 1).cast("int")
+
+
+def count_in(token_string: Column, token: Column) -> Column:
+    own = F.concat(F.lit(" "), token, F.lit(" "))
+    return ((F.length(token_string) - F.length(F.replace(token_string, own))) / F.length(own)).cast("int")
+
+
+def phrase_in(token_string: Column, phrase: Column) -> Column:
+    """F7."""
+    return F.contains(token_string, F.concat(F.lit(" "), F.replace(phrase, F.lit(" "), F.lit("  ")), F.lit(" ")))
+
+
 def fields(text: Column) -> Column:
     """Words between white space of any script."""
     return split_words(F.lower(F.coalesce(text, F.lit(""))), _UNICODE_SPACE)
@@ -122,11 +148,6 @@ def phrase_boost(phrase: Column, n_terms: Column) -> Column:
     return F.when(n == n_terms, 0.75).otherwise(F.lit(0.18) * (n - 1))
 
 
-def contains_phrase(tokens: Column, phrase: Column) -> Column:
-    """tokens hold no spaces, so padding both sides makes the test exact."""
-    return F.contains(F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" ")))
-
-
 def length_multiplier(n_tokens: Column) -> Column:
     """F8."""
     return F.when(n_tokens <= 0, 0.0).when(n_tokens < 6, 0.85).when(n_tokens <= 90, 1.0).otherwise(F.greatest(F.lit(0.72), 1 - (n_tokens - 90) / F.lit(220.0)))

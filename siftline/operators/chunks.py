@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_tokens, contains_phrase, count_of, length_multiplier, let, phrase_boost, query_profile, split_chunks
+from ..functions.text import chunk_token_string, count_in, length_multiplier, let, phrase_boost, phrase_in, query_profile, split_chunks, tokens_in
 
 MAX_PER_SOURCE = 3
 FREQUENCY_WEIGHT, CONTEXT_CAP = 0.35, 0.18
@@ -25,27 +25,25 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
 
 
-def chunk_score(profile: Column, chunk: Column, context_hits: Column) -> Column:
-    """F10. profile: query_profile; context_hits: tokens of the scoring context that are query terms."""
+def chunk_score(profile: Column, chunk: Column, context: Column) -> Column:
+    """F10. profile: query_profile; chunk and context: token strings."""
     terms, phrases = profile["terms"], profile["phrases"]
+    counts = F.transform(terms, lambda t: F.struct(count_in(chunk, t).alias("n"), count_in(context, t).alias("c")))
 
-    def score(tokens: Column) -> Column:
-        counts = F.transform(terms, lambda t: F.struct(count_of(tokens, t).alias("n"), count_of(context_hits, t).alias("c")))
-        matched = F.filter(counts, lambda x: x["n"] > 0)
+    def score(matched: Column) -> Column:
         hits = total(F.transform(matched, lambda x: x["n"].cast("double")))
-        boost = total(F.transform(F.filter(phrases, lambda p: contains_phrase(tokens, p)), lambda p: phrase_boost(p, F.size(terms)).cast("double")))
-        context = F.least(total(F.transform(F.filter(matched, lambda x: x["c"] > 0), lambda x: 0.06 + 0.02 * F.log1p(x["c"]))), F.lit(CONTEXT_CAP))
-        raw = F.size(matched) / F.size(terms) + FREQUENCY_WEIGHT * F.log1p(hits) / F.size(terms) + boost + context
-        return F.when(F.size(matched) == 0, 0.0).otherwise(raw * length_multiplier(F.size(tokens)))
+        boost = total(F.transform(F.filter(phrases, lambda p: phrase_in(chunk, p)), lambda p: phrase_boost(p, F.size(terms)).cast("double")))
+        known = F.least(total(F.transform(F.filter(matched, lambda x: x["c"] > 0), lambda x: 0.06 + 0.02 * F.log1p(x["c"]))), F.lit(CONTEXT_CAP))
+        raw = F.size(matched) / F.size(terms) + FREQUENCY_WEIGHT * F.log1p(hits) / F.size(terms) + boost + known
+        return F.when(F.size(matched) == 0, 0.0).otherwise(raw * length_multiplier(tokens_in(chunk)))
 
-    return let(chunk_tokens(chunk), score)
+    return let(F.filter(counts, lambda x: x["n"] > 0), score)
 
 
 def score_parts(parts: DataFrame, *keys: str, query: str = "q", chunk: str = "chunk", context: str = "context") -> DataFrame:
     """Scores of given chunks: the keys, chunk, score. Those of a query without terms go."""
-    rows = parts.withColumn("_p", query_profile(F.col(query))).filter(F.size("_p.terms") > 0)
-    rows = rows.withColumn("_c", F.filter(chunk_tokens(F.col(context)), lambda t: F.array_contains(F.col("_p.terms"), t)))
-    return rows.select(*keys, chunk, chunk_score(F.col("_p"), F.col(chunk), F.col("_c")).alias("score"))
+    rows = parts.withColumns({"_p": query_profile(F.col(query)), "_s": chunk_token_string(F.col(chunk)), "_c": chunk_token_string(F.col(context))})
+    return rows.filter(F.size("_p.terms") > 0).select(*keys, chunk, chunk_score(F.col("_p"), F.col("_s"), F.col("_c")).alias("score"))
 
 
 def score_chunks(sources: DataFrame, *keys: str, query: str = "q", text: str = "text", context: str = "context") -> DataFrame:
@@ -55,6 +53,7 @@ def score_chunks(sources: DataFrame, *keys: str, query: str = "q", text: str = "
 
 
 def top_chunks(scored: DataFrame, per_source: int, *keys: str) -> DataFrame:
-    """The best chunks of each source with a score over 0, earlier ones first among equals; three at most."""
+    """The best chunks of each source with a score over 0, earlier ones first among equals; three at most. The score is tested behind
+    the window, so that it is computed once; chunks without one rank last."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_no"))
-    return scored.filter("score > 0").withColumn("chunk_rank", place).filter(F.col("chunk_rank") <= min(per_source, MAX_PER_SOURCE))
+    return scored.withColumn("chunk_rank", place).filter((F.col("chunk_rank") <= min(per_source, MAX_PER_SOURCE)) & (F.col("score") > 0))

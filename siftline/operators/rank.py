@@ -19,7 +19,7 @@ LOWEST, HIGHEST = -1.5, 0.5
 
 
 def token_profile(candidates: DataFrame, key: str, query: str = "q", title: str = "title", body: str = "text") -> DataFrame:
-    """One row per candidate: query_id, key, dl (tokens of title and body), hits (its query terms, with weight 2 in the title).
+    """One row per candidate: query_id, key, dl (tokens of title and body), hits (its query terms and their tf).
 
     Tokens are exploded from a plain split, and put together again by a map-side aggregate that keeps no more of a document than its
     length and its query terms.
@@ -29,8 +29,11 @@ def token_profile(candidates: DataFrame, key: str, query: str = "q", title: str
     sides = rows.select("query_id", key, "_q", F.explode(F.array(weighted(TITLE_WEIGHT, title), weighted(1.0, body))).alias("_s"))
     tokens = sides.select("query_id", key, "_q", "_s.w", F.explode(F.split("_s.s", r"[^\p{L}\p{Nd}]+")).alias("term"))
     real = F.octet_length("term") > 1
-    hit = F.when(real & F.array_contains("_q", F.col("term")), F.struct("term", "w"))
-    return tokens.groupBy("query_id", key).agg(F.count_if(real).cast("int").alias("dl"), F.collect_list(hit).alias("hits"))
+    hit = F.when(real & F.array_contains("_q", F.col("term")), F.col("term"))
+    # all tokens that are no query term fall into one group of the document, within the map task
+    grouped = tokens.select("query_id", key, "w", real.alias("real"), hit.alias("term")).groupBy("query_id", key, "term").agg(F.count_if("real").alias("n"), F.sum("w").alias("tf"))
+    found = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
+    return grouped.groupBy("query_id", key).agg(F.sum("n").cast("int").alias("dl"), F.collect_list(found).alias("hits"))
 
 
 def corpus_stats(profile: DataFrame) -> DataFrame:
@@ -47,8 +50,7 @@ def query_terms(candidates: DataFrame, query: str = "q") -> DataFrame:
 
 def term_frequencies(profile: DataFrame, key: str) -> DataFrame:
     """A row for each (document, query term) that occurs: tf counts the body once and the title twice."""
-    hits = profile.select("query_id", key, "dl", F.explode("hits").alias("h"))
-    return hits.groupBy("query_id", key, "dl", "h.term").agg(F.sum("h.w").alias("tf"))
+    return profile.select("query_id", key, "dl", F.explode("hits").alias("h")).select("query_id", key, "dl", "h.term", "h.tf")
 
 
 def inverse_document_frequencies(frequencies: DataFrame, stats: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from ..sources.extract import raw_title
 
 N_REQUESTS, N_HIT_REQUESTS = 40, 50
@@ -41,7 +41,7 @@ def queries(spark: SparkSession, folder: str) -> DataFrame:
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
     title = F.array_join(F.slice(F.split("text", r"\s+"), 1, 5), " ")
-    docs = table(spark, folder, "documents").select((F.col("doc_id") % N_REQUESTS).alias("query_id"), F.col("doc_id").alias("pos"), "doc_id", title.alias("title"), "text")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text")).select((F.col("doc_id") % N_REQUESTS).alias("query_id"), F.col("doc_id").alias("pos"), "doc_id", title.alias("title"), "text")
     return docs.join(queries(spark, folder), "query_id")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import chunks, content, dedupe, fusion, rank
-from ..session import cut, table
+from ..session import cut, spread, table
 from ..sources import extract
 from . import fixtures
 from .registry import query
@@ -56,6 +56,6 @@ def search(
 def search_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All requests of the hits fixture, with the benchmark's words as queries."""
     hits = fixtures.hits(spark, folder).withColumn("metadata", F.create_map(F.lit("src"), "variant"))
-    pages = extract.parse_pages(table(spark, folder, "pages"))
+    pages = extract.parse_pages(spread(table(spark, folder, "pages")))
     out = search(fixtures.queries(spark, folder), hits, pages, fixtures.as_of())
     return out.withColumn("chunks", F.to_json("chunks"))

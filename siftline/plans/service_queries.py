@@ -11,7 +11,7 @@ from ..functions import policy
 from ..functions.urls import canonical_url, scheme
 from ..operators import cache, content, metrics
 from ..schema import CONTENT
-from ..session import table
+from ..session import spread, table
 from ..sources import extract, robots, summarize
 from ..streaming import state
 from . import sqltext as S
@@ -128,12 +128,12 @@ def extract_title(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("extract_text")
 def extract_text(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages").select("page_id", extract.extract("html").alias("e")).select("page_id", "e.*")
+    return spread(table(spark, folder, "pages").select("page_id", "html")).select("page_id", extract.extract("html").alias("e")).select("page_id", "e.*")
 
 
 @query("parse_pages")
 def parse_pages(spark: SparkSession, folder: str) -> DataFrame:
-    rows = extract.parse_pages(table(spark, folder, "pages"))
+    rows = extract.parse_pages(spread(table(spark, folder, "pages")))
     return rows.select("page_id", "canonical", "content.title", "content.language", "content.main_text", "content.unsupported_reason")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunks, dedupe
-from ..session import table
+from ..session import spread, table
 from . import sqltext as S
 from .fixtures import CANDIDATES_SQL, QUERIES_SQL, candidates, literal, queries, values
 from .registry import query
@@ -20,7 +20,7 @@ _CJK = r"regexp_replace(coalesce(t, ''), '[^\p{Han}\p{Hiragana}\p{Katakana}\p{Ha
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 @query("rank_tokens", f"SELECT doc_id, len(t)::INTEGER AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {S.rank_tokens('text')} AS t FROM documents)")

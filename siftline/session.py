@@ -20,6 +20,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where its files have fewer splits. What follows must be worth a shuffle; on
+    inputs of many files nothing is moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed once: checkpointed in the shared folder of spark.checkpoint.dir, which a lost executor does not
     take with it. Where no folder is set, one under /tmp is, as in local runs."""
