@@ -16,6 +16,7 @@ task does no harm. Files are written and read with pyarrow's filesystems (file,
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 import zlib
@@ -87,7 +88,12 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def worker_encoder(path: str) -> Encoder:
-    """The encoder of this Python worker: tasks that follow on it find what earlier ones have learned."""
+    """The encoder of this Python worker: tasks that follow on it find what earlier ones have learned.
+
+    What it holds has no cycles, so it is kept out of the collector's rounds, which would visit it again and again.
+    """
+    gc.collect()
+    gc.freeze()
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = Encoder(path)
