@@ -6,9 +6,9 @@ of both classes, so an expression that neither class has seen tells nothing. The
 the two log-likelihoods over its length; a logistic curve, fitted on texts that the counts have not seen, turns it into
 a score.
 
-Counting covers all labelled training rows and is distributed: each task sums its n-grams before they are shuffled. The
-models are folded into hash tables of fixed size, so their broadcast does not grow with the corpus; every n-gram adds to
-its cell.
+Counting is distributed: each task sums its n-grams before they are shuffled. The models keep every n-gram of the training
+texts with its exact weights, in tables that grow with the number of distinct n-grams and store the keys, so no n-gram
+takes another's weight.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +26,6 @@ from .common import discard, id_remainder, materialize
 
 ORDER = 4
 DISCOUNT = 0.75
-#: Cells of a table, at most; a cell has 4 bytes.
-TABLE_BITS = 20
 #: Added to the number of bytes that the evidence is divided by: a few bytes tell little.
 PRIOR_BYTES = 300
 #: About so many rows, at most, fit the score curve.
@@ -54,16 +51,42 @@ def _keys(codes: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
-def _cell(key: np.ndarray, n: int) -> np.ndarray:
-    """The cell of an n-gram: itself if the table has room for all, else a hash."""
-    if 8 * n <= TABLE_BITS:
-        return key.astype(np.int64)
-    h = (key + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+class Grams:
+    """An exact table of n-grams: open addressing by hash, with the keys, at most half full. It has 2 slots for each n-gram.
 
+    Bytes are 32 or more, so 0 marks an empty slot. An n-gram that the table lacks leads to an empty slot.
+    """
 
-def _cells(n: int) -> int:
-    return 1 << min(8 * n, TABLE_BITS)
+    def __init__(self, keys: np.ndarray):
+        """keys: the distinct n-grams, sorted."""
+        self.size = 2 * len(keys) + 1
+        home = self._home(keys.astype(np.uint64))
+        order = np.argsort(home, kind="stable")
+        place = np.arange(len(keys))
+        place = place + np.maximum.accumulate(home[order] - place)  # the first free slot from the own one on
+        self.slots = np.zeros(max(self.size, int(place[-1]) + 1 if len(place) else 0) + 1, np.uint32)
+        self.slots[place] = keys[order]
+
+    def _home(self, key: np.ndarray) -> np.ndarray:
+        h = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+        return (h * np.uint64(self.size) >> np.uint64(32)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The slot of each n-gram, or an empty one."""
+        at = self._home(key)
+        held = self.slots[at]
+        left = np.flatnonzero((held != key) & (held != 0))
+        while len(left):
+            at[left] += 1
+            held = self.slots[at[left]]
+            left = left[(held != key[left]) & (held != 0)]
+        return at
+
+    def column(self, key: np.ndarray, value: np.ndarray, default: float) -> np.ndarray:
+        """The values by slot, the default in all others."""
+        out = np.full(len(self.slots), default, np.float32)
+        out[self.find(key.astype(np.uint64))] = value
+        return out
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,9 +126,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Model:
-    """weight[c][n]: discounted share of an n-gram in its context, by class and order; rest[c][n]: the share of a context
-    that is backed off; base: the shared distribution of single bytes."""
+    """grams[n]: the n-grams that training has seen, contexts among them; weight[c][n]: discounted share of an n-gram in its
+    context, by class and order; rest[c][n]: the share of a context of n - 1 bytes that is backed off, both by slot; base: the
+    shared distribution of single bytes."""
 
+    grams: dict[int, Grams]
     weight: list[dict[int, np.ndarray]]
     rest: list[dict[int, np.ndarray]]
     base: np.ndarray
@@ -119,11 +144,17 @@ class Model:
         for a in range(0, len(codes) - ORDER + 1, STRETCH):
             part = codes[a : a + STRETCH + ORDER - 1]
             p = q = self.base[part[ORDER - 1 :].astype(np.int64)]
-            for n in range(2, ORDER + 1):
+            first = _keys(part[:ORDER], ORDER) >> np.uint64(8)  # of the part's first byte: what comes before it
+            context = None
+            for n in range(1, ORDER + 1):
                 gram = _keys(part, n)
-                cell, context = _cell(gram, n), _cell(gram >> np.uint64(8), n - 1)
-                p = self.weight[1][n][cell] + self.rest[1][n][context] * p
-                q = self.weight[0][n][cell] + self.rest[0][n][context] * q
+                at = self.grams[n].find(gram)
+                if n > 1:
+                    p = self.weight[1][n][at] + self.rest[1][n][context] * p
+                    q = self.weight[0][n][at] + self.rest[0][n][context] * q
+                if n < ORDER:  # the context of the next order's n-gram is the n-gram of the byte before
+                    before = self.grams[n].find(first & np.uint64((1 << 8 * n) - 1))
+                    context = np.concatenate([before, at[:-1]])
             total += float(np.log(p / q, dtype=np.float64).sum())
         return total / (len(codes) - ORDER + 1 + PRIOR_BYTES)
 
@@ -137,42 +168,38 @@ def count_grams(labelled: DataFrame) -> DataFrame:
     return counted.groupBy("toxic", "gram").agg(F.sum("n").alias("n"))
 
 
-def _tables(counts: DataFrame, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(weight, rest) by class, of the n-grams' counts. They are summed by cell in the cluster; no more rows than cells
-    come to the driver."""
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            gram = b.column("gram").to_numpy().astype(np.uint64)
-            own, context = (pa.array(x, pa.int32()) for x in (_cell(gram, n), _cell(gram >> np.uint64(8), n - 1)))
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), own, context, b.column("n")], names=["toxic", "cell", "context", "n"])
-
-    rows = counts.select("toxic", "gram", "n").mapInArrow(cells, "toxic int, cell int, context int, n long")
-    contexts = rows.groupBy("toxic", "context").agg(F.sum("n").alias("total"), F.sum(F.least(F.col("n"), F.lit(DISCOUNT))).alias("cut"))
-    weights = rows.join(contexts, ["toxic", "context"]).groupBy("toxic", "cell").agg(F.sum(F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total")).alias("weight"))
-    found = weights.toArrow(), contexts.toArrow()
-    out = []
-    for c in (0, 1):
-        w, r = (t.filter(pc.equal(t.column("toxic"), c)) for t in found)
-        weight, rest = np.zeros(_cells(n), np.float32), np.ones(_cells(n - 1), np.float32)
-        weight[w.column("cell").to_numpy()] = np.minimum(w.column("weight").to_numpy(), 1)
-        rest[r.column("context").to_numpy()] = r.column("cut").to_numpy() / r.column("total").to_numpy()
-        out.append((weight, rest))
-    return out
+def _tables(counts: DataFrame) -> tuple[pa.Table, pa.Table]:
+    """(gram, weight) and (context, rest) by class, 0 where a class lacks the n-gram and 1 where it lacks the context. They are
+    computed in the cluster; a row for each distinct n-gram comes to the driver."""
+    counts = counts.withColumn("context", F.shiftright("gram", 8))
+    contexts = counts.groupBy("toxic", "context").agg(F.sum("n").alias("total"), F.sum(F.least(F.col("n"), F.lit(DISCOUNT))).alias("cut"))
+    weight = F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total")
+    by_class = lambda c, x, default: F.coalesce(F.max(F.when(F.col("toxic") == c, x)), F.lit(default)).cast("float").alias(f"c{c}")
+    weights = counts.join(contexts, ["toxic", "context"]).groupBy("gram").agg(*[by_class(c, weight, 0.0) for c in (0, 1)])
+    rests = contexts.groupBy("context").agg(*[by_class(c, F.col("cut") / F.col("total"), 1.0) for c in (0, 1)])
+    return weights.toArrow(), rests.toArrow()
 
 
 def _fold(counts: DataFrame) -> Model:
-    weight, rest = [{}, {}], [{}, {}]
+    found = {}
     for n in range(ORDER, 1, -1):
-        for c, (w, r) in enumerate(_tables(counts, n)):
-            weight[c][n], rest[c][n] = w, r
+        found[n] = _tables(counts)
         # for the next order: in how many contexts does each (n-1)-gram occur
         shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1)).alias("gram")
         counts = materialize(counts.select("toxic", shorter).groupBy("toxic", "gram").agg(F.count("*").alias("n")), "continuations")
     base = np.ones(256)
     for r in counts.groupBy("gram").agg(F.sum("n").alias("n")).collect():
         base[r["gram"]] += r["n"]
-    return Model(weight, rest, (base / base.sum()).astype(np.float32))
+    own = {n: w.column("gram").to_numpy() for n, (w, _) in found.items()}
+    ahead = {n - 1: r.column("context").to_numpy() for n, (_, r) in found.items()}
+    none = np.empty(0, np.int64)
+    grams = {n: Grams(np.union1d(own.get(n, none), ahead.get(n, none))) for n in range(1, ORDER + 1)}
+    weight, rest = [{}, {}], [{}, {}]
+    for n, (w, r) in found.items():
+        for c in (0, 1):
+            weight[c][n] = grams[n].column(own[n], w.column(f"c{c}").to_numpy(), 0)
+            rest[c][n] = grams[n - 1].column(ahead[n - 1], r.column(f"c{c}").to_numpy(), 1)
+    return Model(grams, weight, rest, (base / base.sum()).astype(np.float32))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -231,7 +258,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[float,
 
 def score_toxicity(spark: SparkSession, model: Model):
     """A column function: text -> score from 0 to 1. Null and empty texts score by the curve's value at no evidence."""
-    shared = spark.sparkContext.broadcast(model)  # fixed size, under 40 MB
+    shared = spark.sparkContext.broadcast(model)  # 24 bytes a distinct 4-gram, 40 a 3-gram
 
     @F.pandas_udf("double")
     def score(column: pd.Series) -> pd.Series:

@@ -67,6 +67,22 @@ def test_evidence_equals_brute_force(spark):
         assert abs(model.evidence(text) - total / (len(raw) - 3 + X.PRIOR_BYTES)) < 1e-5
 
 
+def test_many_distinct_grams_do_not_share_weights(spark):
+    """More 4-grams than 2^20: each still has its own weights, those that only the other class has seen none."""
+    rng = np.random.default_rng(3)
+    text = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    many, few = [(text(6000), 0) for _ in range(300)], [(text(300).upper() + "0123456789", 1)]
+    model = X._fold(X.count_grams(spark.createDataFrame(many + few, "text string, toxic int").repartition(4)).cache())
+    keys = {c: np.unique(np.concatenate([X._keys(X._bytes(t), 4) for t, k in many + few if k == c])) for c in (0, 1)}
+    for c in (0, 1):
+        lone = np.setdiff1d(keys[1 - c], keys[c])
+        assert len(lone) and (model.weight[c][4][model.grams[4].find(lone)] == 0).all()
+    unseen = np.array([int.from_bytes(f"{i:04}".encode()[::-1]) for i in range(2000, 9000)], np.uint64)
+    unseen = unseen[~np.isin(unseen, np.union1d(*keys.values()))]
+    assert (model.grams[4].slots[model.grams[4].find(unseen)] == 0).all()
+    assert np.isin(np.union1d(*keys.values()), model.grams[4].slots).all() and len(keys[0]) > 300_000
+
+
 def test_stretches_do_not_change_the_evidence(spark, monkeypatch):
     counts = X.count_grams(spark.createDataFrame([("the cat sat", 0), ("bad cat", 1)], "text string, toxic int")).cache()
     model, text = X._fold(counts), "the bad cat sat " * 50
