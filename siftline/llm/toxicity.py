@@ -3,8 +3,8 @@
 Toxic and ordinary training texts have their own interpolated Kneser-Ney models of order 4: discounted counts of the
 4-grams, continuation counts for the lower orders. Both back off to one shared distribution, of the continuation counts
 of both classes, so an expression that neither class has seen tells nothing. The evidence of a text is the difference of
-the two log-likelihoods over its length; a logistic curve, fitted on texts that the counts have not seen, turns it into
-a score.
+the two log-likelihoods over its length; a logistic curve turns it into a score. The curve is fitted on texts
+that a first count leaves out; the model then counts them too.
 
 Counting is distributed: each task sums its n-grams before they are shuffled. The models keep every n-gram of the training
 texts with its exact weights, in tables that grow with the number of distinct n-grams and store the keys, so no n-gram
@@ -205,23 +205,28 @@ def _fold(counts: DataFrame) -> Model:
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Learn from the labelled documents whose crc32(doc_id as text) mod 5 is not 0.
 
-    Of those, remainder 1 fits the score curve (a bounded sample, by the hash of the id), all others are counted. Null ids,
-    texts and labels are not learned from; an id with both labels counts as toxic. Without rows of both
-    classes to fit the curve, every score is 0.
+    A first model counts those of remainders 2 to 4, and remainder 1 fits its score curve (a bounded sample, by the hash of the
+    id). The model that is returned counts all of them and takes over that curve. Null ids, texts and labels are not learned
+    from; an id with both labels counts as toxic. Without rows of both classes to fit the curve, every score is 0.
     """
     marks = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("toxic")).filter("toxic in (0, 1) and id is not null")
     marks = marks.groupBy("id").agg(F.max("toxic").alias("toxic"))
     rest = id_remainder(F.col("id"), 5)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("text is not null")
     # labels grow with the corpus: they meet the texts by a shuffle at any size
-    counts = materialize(count_grams(rows.filter(rest > 1).join(marks.filter(rest > 1).hint("merge"), "id")), "grams")
+    count = lambda part: materialize(count_grams(rows.filter(part).join(marks.filter(part).hint("merge"), "id")), "grams")
+    counts = count(rest > 1)
     model = _fold(counts)
-    discard(counts)
     keen = marks.filter(rest == 1)
     share = min(1.0, CALIBRATION_ROWS / max(1, keen.count()))
     keen = keen.filter(F.xxhash64("id") <= F.lit(min(2**63 - 1, int((share - 0.5) * 2**64))))
     calibrate(model, rows.filter(rest == 1).join(F.broadcast(keen), "id"))  # about CALIBRATION_ROWS pairs of numbers
-    return model
+    held = count(rest == 1)
+    whole = _fold(materialize(counts.unionByName(held).groupBy("toxic", "gram").agg(F.sum("n").alias("n")), "all_grams"))
+    discard(counts)
+    discard(held)
+    whole.slope, whole.shift = model.slope, model.shift
+    return whole
 
 
 def calibrate(model: Model, rows: DataFrame) -> None:

@@ -123,3 +123,12 @@ def test_odd_documents_and_empty_tables(spark, odd_docs, no_docs, labelled):
     odd_labels = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (2, None), (3, 0)], "doc_id long, toxic int")
     for model in (X.fit(odd_docs, odd_labels), X.fit(no_docs, labels), X.fit(docs, labels.limit(0))):
         assert 0 <= model.score("any text") < 0.5
+
+
+def test_rows_that_fit_the_curve_are_counted_too(spark, labelled):
+    """A word that only toxic rows of remainder 1 hold."""
+    docs, labels = labelled
+    odd = docs.withColumn("text", F.when((X.id_remainder(F.col("doc_id"), 5) == 1) & (F.col("doc_id") % 4 == 0), F.concat("text", F.lit(" qyxjw"))).otherwise(F.col("text")))
+    model = X.fit(odd, labels)
+    gram = np.array([int.from_bytes(b"qyxj")], np.uint64)
+    assert model.weight[1][4][model.grams[4].find(gram)][0] > 0 and model.weight[0][4][model.grams[4].find(gram)][0] == 0
