@@ -7,7 +7,7 @@ duplicates free their places.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -52,10 +52,20 @@ def search(
     return final.join(passages, ["query_id", "pos"], "left").select("query_id", "rank", "url", "title", "score", "published_at", "unsupported", "chunks")
 
 
+def request_queries(hits: DataFrame, items: DataFrame) -> DataFrame:
+    """(query_id, q) for each request of the hits: its own item, or where there is none, the item in its place, counted around."""
+    item = items.select((F.row_number().over(Window.orderBy("query_id")) - 1).alias("place"), "q")
+    asked = hits.select("query_id").distinct().join(items, "query_id", "left")
+    lost = asked.filter("q is null").select("query_id").crossJoin(items.agg(F.count("*").alias("n"))).filter("n > 0")
+    dealt = lost.withColumn("place", F.col("query_id") % F.col("n")).join(item, "place").select("query_id", "q")
+    return asked.filter("q is not null").unionByName(dealt)
+
+
 @query("search_pipeline")
 def search_pipeline(spark: SparkSession, folder: str) -> DataFrame:
-    """All requests of the hits fixture, with the benchmark's words as queries."""
+    """All requests of the hits fixture, with the benchmark's words as queries. A request without an item of its own takes another's
+    words."""
     hits = fixtures.hits(spark, folder).withColumn("metadata", F.create_map(F.lit("src"), "variant"))
     pages = extract.parse_pages(spread(table(spark, folder, "pages")))
-    out = search(fixtures.queries(spark, folder), hits, pages, fixtures.as_of())
+    out = search(request_queries(hits, fixtures.queries(spark, folder)), hits, pages, fixtures.as_of())
     return out.withColumn("chunks", F.to_json("chunks"))
