@@ -21,8 +21,8 @@ from .common import id_remainder
 #: Labelled rows to train on and landmarks among them, per language. Bounds what comes to the driver.
 TRAIN_PER_CLASS = 300
 LANDMARKS_PER_CLASS = 40
-#: Training uses at most so many languages, the most frequent ones.
-MAX_CLASSES = 400
+#: With more languages than this, each has fewer rows and landmarks, so that their sums stay the same; one at least.
+FULL_CLASSES = 400
 RIDGE = 0.1
 ORDERS = 3
 BATCH = 128
@@ -33,6 +33,11 @@ PREDICTION_TYPE = "struct<lang_pred: string, score: double>"
 _FOLDED: np.ndarray | None = None
 
 
+def _share(per_class: int, classes: int) -> int:
+    """Rows of each language, where there are so many languages."""
+    return max(1, min(per_class, per_class * FULL_CLASSES // max(1, classes)))
+
+
 def _letters() -> np.ndarray:
     """Code point -> itself for a letter, else a space."""
     global _FOLDED
@@ -75,6 +80,7 @@ class Model:
         self.langs = sorted({lang for _, lang in rows})
         if not rows:
             return
+        per_class = _share(per_class, len(self.langs))
         seen: dict[str, int] = {}
         chosen = []
         for i, (_, lang) in enumerate(rows):
@@ -119,23 +125,23 @@ class Model:
 
 
 def training_rows(docs: DataFrame, lang: str, text: str, order: Column, per_class: int = TRAIN_PER_CLASS) -> list[tuple[str, str]]:
-    """(text, lang) of at most ``per_class`` labelled rows of each language, those of the smallest hash of ``order``.
+    """(text, lang) of at most ``per_class`` labelled rows of each language (fewer above FULL_CLASSES languages), those of the smallest hash of ``order``.
 
     Languages are counted first; a hash threshold for each then keeps a little over ``per_class`` rows, and only those are
     collected.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & order.isNotNull())
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(order).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_CLASSES).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return []
+    per_class = _share(per_class, len(counts))
     share = lambda n: min(1.0, (2 * per_class + 50) / n)
     limit = {r["lang"]: int((share(r["count"]) - 0.5) * 2**64) for r in counts}
-    keep = F.lit(False)
-    for value, most in limit.items():
-        keep = keep | ((F.col("lang") == value) & (F.col("h") <= F.lit(min(most, 2**63 - 1))))
+    limits = docs.sparkSession.createDataFrame([(k, min(most, 2**63 - 1)) for k, most in limit.items()], "lang string, most long")
+    kept = rows.join(F.broadcast(limits), "lang").filter("h <= most")  # a row for each language
     out: dict[str, list[str]] = {}
-    for r in sorted(rows.filter(keep).collect(), key=lambda r: (r.h, r.lang, r.text)):
+    for r in sorted(kept.collect(), key=lambda r: (r.h, r.lang, r.text)):
         if len(own := out.setdefault(r.lang, [])) < per_class:
             own.append(r.text)
     return [(t, k) for k in sorted(out) for t in out[k]]

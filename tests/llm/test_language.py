@@ -55,3 +55,10 @@ def test_odd_documents(spark, odd_docs, no_docs, texts):
     empty = L.fit(no_docs)
     assert {r.p.lang_pred for r in odd_docs.select(L.predict_language(spark, empty)("text").alias("p")).collect()} == {"und"}
     assert no_docs.select(L.predict_language(spark, model)("text")).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    """However many there are."""
+    rows = [(i, f"text {i} word", f"l{i % 450}") for i in range(900)]
+    found = L.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", "text", F.col("doc_id"))
+    assert {lang for _, lang in found} == {f"l{i}" for i in range(450)} and len(found) == 900
