@@ -23,13 +23,14 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 OP8 = r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+WITH t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations),
 c AS (SELECT conv_id, list(to_json({'r': role, 't': text})::VARCHAR ORDER BY turn, role, text) AS turns,
-  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS chat FROM t GROUP BY conv_id),
+  string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn, role, text) AS chat FROM t GROUP BY conv_id, lone),
 p AS (SELECT DISTINCT turns[1:i] AS prefix FROM (SELECT turns, unnest(range(1, len(turns))) AS i FROM c)),
-u AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY turns)
-SELECT u.conv_id, len(u.turns)::BIGINT AS n_turns, u.n_copies, c.chat
-FROM u JOIN c USING (conv_id) WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.prefix = u.turns)
+u AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS n_copies, any_value(chat) AS chat FROM c GROUP BY turns)
+SELECT conv_id, len(turns)::BIGINT AS n_turns, n_copies, chat
+FROM u WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.prefix = u.turns)
 """
 
 OP9 = r"""
