@@ -7,9 +7,10 @@ over the pieces that end there, depends on the node's prefix alone and is comput
 node where a pre-token ends stores its count. The counts of a document are sums of these terminal counts. Nothing is
 shuffled.
 
-The trie is built level by level: in sorted order the words under a node stand together, so the nodes of a level are where
-the common prefix with the word before ends. Each level keeps, for every node, the hashes of its last 1 to 16 characters and the
-scores of its last 16 ancestors, which is all that the next level needs.
+The trie is built level by level, for words of any length: in sorted order the words under a node stand together, so a node
+begins where its parent or its character changes. Each level keeps, for every node, the hashes of its last 1 to 16 characters
+and the scores of its last 16 ancestors, which is all that the next level needs. Neighbours in sorted order share a trie of up to
+MAX_WORDS words; words already counted by the worker are not counted again.
 
 Scores are ``-ln(rank + 1)``, normalised: Zipf's law over the ranks of the vocabulary. A character outside the vocabulary counts
 one token for each of its UTF-8 bytes, each a unit below the worst piece.
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 #: Pre-tokens whose counts a worker remembers before it starts anew: about 150 MB.
 MAX_KNOWN = 1_000_000
-#: (longest word, words in one trie): a level holds a few hundred bytes a word.
-WIDTHS = ((24, 60_000), (96, 20_000), (256, 8_000))
+#: Words in one trie: a level holds a few hundred bytes for each.
+MAX_WORDS = 60_000
 #: Texts are counted in slices of so many characters.
 SLICE = 8_000_000
 
@@ -89,71 +90,50 @@ class Counter:
         return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - _FILTER_BITS)
 
     def _trie(self, words: list[str]) -> list[int]:
-        """Counts of sorted, distinct words, by one trie of all."""
+        """Counts of sorted, distinct, non-empty words, by one trie of all."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        width = int(sizes.max())
-        codes = np.array(words, f"U{width}").view(np.uint32).reshape(len(words), width)
-        differ = codes[1:] != codes[:-1]
-        common = np.concatenate([[-1], np.where(differ.any(1), differ.argmax(1), width)])
-        common[1:] = np.minimum(common[1:], np.minimum(sizes[1:], sizes[:-1]))
+        start = np.cumsum(sizes) - sizes
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         out = np.zeros(len(words), np.int64)
         alive = np.arange(len(words))
         node_of = np.zeros(len(words), np.int64)  # of each alive word, in the level before
         tails = np.zeros((0, 1), np.uint64)  # tails[k]: hash of the last k + 1 characters
         best, count = np.zeros((1, 1)), np.zeros((1, 1), np.int64)  # [k]: of the ancestor k levels up
-        for depth in range(1, width + 1):
-            stays = sizes[alive] >= depth
-            alive, node_of = alive[stays], node_of[stays]
-            new = common[alive] < depth
-            new[0] = True
-            parent, character = node_of[new], codes[alive[new], depth - 1].astype(np.uint64)
+        for depth in range(1, int(sizes.max()) + 1):
+            if depth > 1 and len(ended := np.flatnonzero(sizes[alive] < depth)):
+                alive, node_of = np.delete(alive, ended), np.delete(node_of, ended)
+            character = codes[start[alive] + depth - 1]
+            # words under a node stand together: a node begins where the parent or the character changes
+            new = np.concatenate([[True], (node_of[1:] != node_of[:-1]) | (character[1:] != character[:-1])])
+            parent, character = node_of[new], character[new].astype(np.uint64)
             node_of = np.cumsum(new) - 1
             self.nodes += len(parent)
             tails = np.concatenate([character[None] + np.uint64(1), tails[: self.longest - 1, parent] * _BASE + (character + np.uint64(1))])
             best, count = best[: self.longest, parent], count[: self.longest, parent]
             n_bytes = 1 + (character >= 0x80).astype(np.int64) + (character >= 0x800) + (character >= 0x10000)
             top, tokens = best[0] + n_bytes * self.byte, count[0] + n_bytes
-            for k in range(min(depth, self.longest)):
-                at = np.flatnonzero(self.filter[self._slot(tails[k])])
-                if not len(at):
-                    continue
+            k, at = np.nonzero(self.filter[self._slot(tails)])
+            if len(k):
                 place = np.minimum(np.searchsorted(self.keys, tails[k, at]), len(self.keys) - 1)
                 real = self.keys[place] == tails[k, at]
-                at, score = at[real], self.values[place[real]] + best[k, at[real]]
-                better = (score > top[at]) | ((score == top[at]) & (count[k, at] + 1 < tokens[at]))
-                at = at[better]
-                top[at], tokens[at] = score[better], count[k, at] + 1
+                k, at, place = k[real], at[real], place[real]
+                score, pieces = self.values[place] + best[k, at], count[k, at] + 1
+                order = np.lexsort((-pieces, score, at))  # the last of each node is its best: highest score, then fewest tokens
+                order = order[np.concatenate([at[order][1:] != at[order][:-1], [True]])] if len(order) else order
+                at, score, pieces = at[order], score[order], pieces[order]
+                better = (score > top[at]) | ((score == top[at]) & (pieces < tokens[at]))
+                top[at[better]], tokens[at[better]] = score[better], pieces[better]
             best, count = np.concatenate([top[None], best]), np.concatenate([tokens[None], count])
             ends = sizes[alive] == depth
             out[alive[ends]] = tokens[node_of[ends]]
         return out.tolist()
 
-    def _alone(self, word: str) -> int:
-        """The count of one very long word."""
-        best, count, get = [0.0], [0], self.scores.get
-        for end in range(1, len(word) + 1):
-            n = len(word[end - 1].encode())
-            top, tokens = best[-1] + n * self.byte, count[-1] + n
-            for start in range(max(0, end - self.longest), end):
-                score = get(word[start:end])
-                if score is not None:
-                    score += best[start]
-                    if score > top or (score == top and count[start] + 1 < tokens):
-                        top, tokens = score, count[start] + 1
-            best.append(top)
-            count.append(tokens)
-        return count[-1]
-
     def learn(self, keys: set[str]) -> None:
-        """Count pre-tokens, given without their first space."""
-        low = 0
-        for high, most in WIDTHS:
-            own = sorted(k for k in keys if low <= len(k) < high)
-            for i in range(0, len(own), most):
-                part = own[i : i + most]
-                self.known.update(zip(part, self._trie([" " + k for k in part])))
-            low = high
-        self.known.update((k, self._alone(" " + k)) for k in keys if len(k) >= low)
+        """Count pre-tokens, given without their first space, of any length."""
+        own = sorted(keys)
+        for i in range(0, len(own), MAX_WORDS):
+            part = own[i : i + MAX_WORDS]
+            self.known.update(zip(part, self._trie([" " + k for k in part])))
 
     def of(self, texts: list[str | None]) -> Iterator[tuple[int, int]]:
         """(pre-tokens, tokens) of each text."""
@@ -184,7 +164,12 @@ def worker_counter(path: str, max_known: int) -> Counter:
 
 
 def count_tokens(vocabulary_path: str, max_known: int = MAX_KNOWN):
-    """A column function: text -> n_pretokens, n_tokens. Null and empty texts have none; repeated rows count alike."""
+    """A column function: text -> n_pretokens, n_tokens.
+
+    Null and empty texts have none of either. Very long texts and words are counted whole, in bounded memory. Equal scores
+    go to the segmentation of fewest tokens. Repeated rows count alike. An empty table gives an empty table. It reads the one
+    column that it is given: other columns may have any name.
+    """
 
     @F.pandas_udf(COUNT_TYPE)
     def count(column: pd.Series) -> pd.DataFrame:

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ def brute(word, scores, byte):
     best = {0: (0.0, 0)}
     for end in range(1, len(word) + 1):
         options = []
-        for start in range(end):
+        for start in range(max(0, end - max(map(len, scores))), end):
             s, n = best[start]
             if word[start:end] in scores:
                 options.append((s + scores[word[start:end]], n + 1))
@@ -46,6 +47,17 @@ def test_random_words_equal_brute_force():
     assert counts(counter, words) == [brute(" " + w, VOCABULARY, counter.byte) for w in words]
 
 
+def test_very_long_words_take_the_same_trie():
+    rng = random.Random(4)
+    stem = "".join(rng.choice("there x") for _ in range(30_000))
+    words = [stem, stem[:20_000], stem[:20_000] + "zz", "e" * 500, "h" * 256]
+    counter = T.Counter(VOCABULARY)
+    assert counts(counter, words) == [brute(" " + w, VOCABULARY, counter.byte) for w in words]
+    own = sorted(" " + w for w in words)
+    shared = sum(len(os.path.commonprefix(pair)) for pair in zip(own, own[1:]))
+    assert counter.nodes == sum(map(len, own)) - shared  # a node for each distinct prefix
+
+
 def test_equals_the_unigram_model_of_the_tokenizers_library():
     from tokenizers import Tokenizer, models
 
