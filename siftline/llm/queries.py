@@ -51,8 +51,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    score = toxicity.score_toxicity(spark, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), score("text").alias("score"))
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    scored = scored.select("row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
