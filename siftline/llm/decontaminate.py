@@ -12,21 +12,25 @@ Most positions are never looked at: a block that no pattern holds moves the wind
 documents form one sequence, cut into lanes that are searched in lockstep with numpy; a word that no pattern holds
 stands between documents, so no window crosses them.
 
-The search is a projection without any shuffle. The benchmark is compiled in blocks of at most
-``max_block_words`` words, each broadcast by itself; a task holds one block at a time, so neither the broadcast nor the
-task's memory grows with the benchmark beyond that bound.
+The benchmark is compiled in blocks of at most ``max_block_words`` words; longer items are cut into pieces that share 12 words.
+With one block the search is a projection without any shuffle. With more, blocks are compiled, broadcast, searched and destroyed one
+after the other, and only hits are kept of each, so neither the driver nor a task holds more than one block. Blocks may
+each read the corpus once, as each looks at a benchmark of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WINDOW_WORDS = 13
 #: A block keeps at most so many benchmark words; with all tables that is about 30 MB.
 MAX_BLOCK_WORDS = 250_000
@@ -39,6 +43,9 @@ TABLE_BITS = 20
 #: A-Z to a-z; all other ASCII but digits and a-z to a space. Bytes from 0x80 up belong to words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
+#: A word before A-Z is lower-cased.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 SEARCH_TYPE = "struct<n_words: bigint, n_hit: bigint, item_ids: array<string>, spans: array<struct<first: bigint, last: bigint>>>"
 
 
@@ -109,7 +116,7 @@ class Table:
 class Block:
     """Some benchmark items, compiled."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]]):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]]):
         self.names = [name for name, _ in items]
         self.numbers: dict[bytes, int] = {}
         windows: dict[int, dict[tuple[int, ...], list[int]]] = {}
@@ -138,63 +145,57 @@ class Block:
         return np.cumsum(change[:-1]) > 0, np.unique(np.concatenate(pairs), axis=0)
 
 
+def _items(rows: Iterator[tuple[str | None, str | None]], most: int) -> Iterator[tuple[str | None, list[bytes]]]:
+    """(name, words) of the items with words. An item of over ``most`` words comes in pieces that together hold all its windows."""
+    for name, value in rows:
+        item = words(value)
+        step = max(1, most - WINDOW_WORDS + 1)
+        for a in range(0, len(item), step) if len(item) > most else [0] * bool(item):
+            if a == 0 or len(item) - a >= WINDOW_WORDS:  # else the piece before holds its windows
+                yield name, item[a : a + max(most, WINDOW_WORDS)]
+
+
 def compile_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", max_block_words: int = MAX_BLOCK_WORDS) -> Iterator[Block]:
-    """Blocks of the benchmark's items, read one partition at a time."""
+    """Blocks of the benchmark's items, read one partition at a time. One block is held at a time."""
     items, size = [], 0
-    for name, value in benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")), text).toLocalIterator():
-        item = words(value)
-        if item and size and size + len(item) > max_block_words:
+    for name, item in _items(benchmark.select(F.col(item_id).cast("string"), text).toLocalIterator(), max_block_words):
+        if size and size + len(item) > max_block_words:
             yield Block(items)
             items, size = [], 0
-        if item:
-            items.append((name, item))
-            size += len(item)
+        items.append((name, item))
+        size += len(item)
     if items:
         yield Block(items)
 
 
-def search_chunk(texts: list[str | None], blocks: Iterator[Block]) -> pd.DataFrame:
+def _sorted(names: set[str | None]) -> list[str | None]:
+    return sorted(names, key=lambda n: (n is None, n or ""))
+
+
+def search_chunk(texts: list[str | None], block: Block) -> pd.DataFrame:
     """What SEARCH_TYPE says, for some texts."""
     split = [words(t) for t in texts]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     starts = np.cumsum(sizes + 1) - sizes - 1
-    hit, names = np.zeros(int(sizes.sum()) + len(split), bool), [set() for _ in split]
-    for block in blocks:
-        text = np.zeros(len(hit), np.int32)
-        get = block.numbers.get
-        for a, document in zip(starts.tolist(), split):
-            text[a : a + len(document)] = np.fromiter(map(get, document, repeat(0)), np.int32, len(document))
-        covered, pairs = block.search(text, starts) if len(text) else (hit, np.empty((0, 2), np.int64))
-        hit |= covered
-        for d, i in pairs.tolist():
-            names[d].add(block.names[i])
+    text, names, get = np.zeros(int(sizes.sum()) + len(split), np.int32), [set() for _ in split], block.numbers.get
+    for a, document in zip(starts.tolist(), split):
+        text[a : a + len(document)] = np.fromiter(map(get, document, repeat(0)), np.int32, len(document))
+    hit, pairs = block.search(text, starts) if len(text) else (np.zeros(0, bool), np.empty((0, 2), np.int64))
+    for d, i in pairs.tolist():
+        names[d].add(block.names[i])
     edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
     spans = [[] for _ in split]
     for a, b in edge.reshape(-1, 2).tolist():
         d = int(np.searchsorted(starts, a, "right")) - 1
         spans[d].append({"first": a - int(starts[d]), "last": b - 1 - int(starts[d])})
-    n_hit = [sum(x["last"] - x["first"] + 1 for x in s) for s in spans]
-    return pd.DataFrame({"n_words": sizes, "n_hit": n_hit, "item_ids": [sorted(x) for x in names], "spans": spans})
-
+    return pd.DataFrame({"n_words": sizes, "n_hit": list(map(_hit, spans)), "item_ids": list(map(_sorted, names)), "spans": spans})
 
-def contamination(spark: SparkSession, benchmark: DataFrame, item_id: str = "item_id", text: str = "text", max_block_words: int = MAX_BLOCK_WORDS):
-    """A column function: text -> SEARCH_TYPE.
 
-    n_words: words of the text. n_hit: words inside any occurrence of a window. item_ids: the items with occurring windows,
-    distinct, in code point order. spans: the runs of hit words, first and last counted from 0.
+def _hit(spans: list[dict[str, int]]) -> int:
+    return sum(x["last"] - x["first"] + 1 for x in spans)
 
-    Null, empty and wordless texts have no words, hits or items. Items without words are ignored; rows that repeat an
-    item_id are one item; a null item_id reads ``null``. An empty benchmark hits nothing.
-    """
-    shared = [spark.sparkContext.broadcast(block) for block in compile_blocks(benchmark, item_id, text, max_block_words)]
-
-    def load() -> Iterator[Block]:
-        if len(shared) == 1:
-            yield shared[0].value
-        else:
-            for one in shared:
-                yield one.load_from_path(one._path) if getattr(one, "_path", None) else one.value
 
+def _searcher(shared: Broadcast[Block]):
     @F.pandas_udf(SEARCH_TYPE)
     def search(column: pd.Series) -> pd.DataFrame:
         out, chunk, size = [], [], 0
@@ -202,14 +203,74 @@ def contamination(spark: SparkSession, benchmark: DataFrame, item_id: str = "ite
             chunk.append(value)
             size += len(value) if value else 0
             if size >= CHUNK_BYTES:
-                out.append(search_chunk(chunk, load()))
+                out.append(search_chunk(chunk, shared.value))
                 chunk, size = [], 0
-        out.append(search_chunk(chunk, load()))
+        out.append(search_chunk(chunk, shared.value))
         return pd.concat(out, ignore_index=True)
 
     return search
 
 
+def _merged(spans: list[dict[str, int]]) -> list[dict[str, int]]:
+    runs: list[dict[str, int]] = []
+    for a, b in sorted((x["first"], x["last"]) for x in spans):
+        if runs and a <= runs[-1]["last"] + 1:
+            runs[-1]["last"] = max(runs[-1]["last"], b)
+        else:
+            runs.append({"first": a, "last": b})
+    return runs
+
+
+def _union(spans: str) -> Column:
+    """The runs that the spans of several blocks cover together."""
+
+    @F.pandas_udf("array<struct<first: bigint, last: bigint>>")
+    def union(column: pd.Series) -> pd.Series:
+        return pd.Series(list(map(_merged, column)), dtype=object)
+
+    return union(spans)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, item_id: str = "item_id", text: str = "text", doc_text: str = "text", max_block_words: int = MAX_BLOCK_WORDS) -> DataFrame:
+    """(row, found): each row of docs as a struct of all its columns, whatever their names, and SEARCH_TYPE of its text.
+
+    n_words: words of the text. n_hit: words inside any occurrence of a window. item_ids: the items with occurring windows,
+    distinct, in code point order. spans: the runs of hit words, first and last counted from 0.
+
+    Null, empty and wordless texts have no words, hits or items; texts and items of any length are searched whole. Items without
+    words are ignored; rows that repeat an item_id are one item, and so are those without one, whose id stays null, the last.
+    An empty benchmark hits nothing; repeated rows of docs are judged alike; empty docs give no rows.
+    """
+    context = docs.sparkSession.sparkContext
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    blocks = compile_blocks(benchmark, item_id, text, max_block_words)
+    first = next(blocks, Block([]))
+    second = next(blocks, None)
+    if second is None:
+        return docs.select(row, _searcher(context.broadcast(first))(F.col(doc_text)).alias("found"))
+    name = F.struct(F.xxhash64(F.lit(1), doc_text).alias("a"), F.xxhash64(F.lit(2), doc_text).alias("b")).alias("name")
+    hits = None
+    for block in chain([first, second], blocks):
+        shared = context.broadcast(block)
+        one = docs.select(name, _searcher(shared)(F.col(doc_text)).alias("found")).filter("found.n_hit > 0")
+        one = materialize(one.groupBy("name").agg(F.first("found").alias("found")), "hits")
+        shared.destroy()
+        hits = one if hits is None else hits.unionByName(one)
+    # a number of rows for each text that is hit, at most one for each block
+    merged = hits.groupBy("name").agg(F.flatten(F.collect_list("found.item_ids")).alias("items"), F.flatten(F.collect_list("found.spans")).alias("spans"))
+    merged = merged.select("name", F.array_distinct("items").alias("items"), _union("spans").alias("spans"))
+    joined = docs.select(row, F.regexp_count(F.coalesce(doc_text, F.lit("")), F.lit(_WORD)).cast("long").alias("n_words"), name).join(merged, "name", "left")
+    nulls_last = F.filter("items", lambda x: x.isNull())
+    items = F.concat(F.array_sort(F.filter("items", lambda x: x.isNotNull())), nulls_last)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
+    none = lambda kind: F.array().cast(kind)
+    found = F.struct(
+        "n_words", F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(items, none("array<string>")).alias("item_ids"),
+        F.coalesce("spans", none("array<struct<first: bigint, last: bigint>>")).alias("spans"),
+    )
+    return joined.select("row", found.alias("found"))
+
+
 def is_contaminated(found: Column) -> Column:
     """Hit words are a twentieth of the words or more."""
     return (found["n_hit"] > 0) & (found["n_hit"] * 20 >= found["n_words"])

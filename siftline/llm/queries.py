@@ -43,8 +43,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    search = decontaminate.contamination(spark, table(spark, sf_dir, "benchmark"))
-    found = table(spark, sf_dir, "documents").select("doc_id", search("text").alias("f"))
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = found.select("row.doc_id", F.col("found").alias("f"))
     items = F.col("f.item_ids")
     return found.select("doc_id", "f.n_words", "f.n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), decontaminate.is_contaminated(F.col("f")).alias("contaminated"))
 
