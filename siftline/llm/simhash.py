@@ -7,17 +7,20 @@ do not meet, and a large family of near copies spreads over many groups: those i
 most. Exact copies meet only once, as one fingerprint.
 
 Within a partition the fingerprints stand in group order and their 64 bit planes are stored vertically, 64 fingerprints a
-word. Comparing each with its d-th follower in the group is one shift of the planes and an XOR; a carry-save counter of
-two bits and a sticky overflow adds up the planes for all fingerprints at once, and stretches in which all
+word. Comparing each with its d-th follower in the group is one shift of the planes and an XOR; a carry-save counter of as many
+bits as the radius needs and a sticky overflow adds up the planes for all fingerprints at once, and words in which all 64
 are above the radius are abandoned. A link counts only in the first choice of blocks that shows it.
 
+A group of more than GROUP fingerprints is cut once more in the same way, by choices among the blocks of its remaining bits. What
+then agrees leaves 11 bits, so no group holds more than 2,048 distinct fingerprints, whatever the data.
+
 Links become components by contraction: each round every fingerprint takes the neighbour of the smallest (salted) hash,
 and links between different labels remain. What is left of at most ``finish`` links is closed by one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,16 +36,18 @@ RADIUS = 2
 SHINGLE_WORDS = 3
 #: Links that one task may close, about 16 MB.
 FINISH_LINKS = 1_000_000
-#: Words of 64 fingerprints that are abandoned together.
-STRETCH = 64
+#: Fingerprints in a group beyond which it is cut again.
+GROUP = 4096
+#: Rows that are compared together: whole groups of about so many.
+ROWS = 400_000
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+LOWER = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 
 
 def shingle_hashes(text: str | None, k: int = SHINGLE_WORDS) -> np.ndarray:
     """XXH64 (seed 42) of each shingle of k words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, joined by spaces. Fewer words:
     the whole sequence; none: nothing."""
-    words = text.encode().translate(_LOWER).split() if text else []
+    words = text.encode().translate(LOWER).split() if text else []
     if not words:
         return np.empty(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
@@ -53,15 +58,18 @@ def shingle_hashes(text: str | None, k: int = SHINGLE_WORDS) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], 42) for a, b in zip(first, last)), np.uint64, n)
 
 
-def fingerprint_of(text: str | None, k: int = SHINGLE_WORDS) -> int:
+def fingerprint_from(hashes: np.ndarray) -> int:
     """A bit is 1 if it is set in over half the hashes. Unsigned."""
-    hashes = shingle_hashes(text, k)
     counts = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 8192):
         counts += np.unpackbits(hashes[a : a + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint_of(text: str | None, k: int = SHINGLE_WORDS) -> int:
+    return fingerprint_from(shingle_hashes(text, k))
+
+
 def fingerprint(text: Column, k: int = SHINGLE_WORDS) -> Column:
     """The fingerprint as a signed 64-bit integer. Null, empty and wordless texts: 0."""
 
@@ -83,7 +91,7 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _planes(values: np.ndarray) -> np.ndarray:
+def planes_of(values: np.ndarray) -> np.ndarray:
     """64 rows of bits, 64 values a word, with a word of zeros behind."""
     padded = np.zeros((len(values) + 63) // 64 * 64 + 64, np.uint64)
     padded[: len(values)] = values
@@ -100,30 +108,91 @@ def _shifted(planes: np.ndarray, d: int, n: int) -> np.ndarray:
     return low >> np.uint64(bits) | take(words + 1) << np.uint64(64 - bits) if bits else low
 
 
-def close_pairs(planes: np.ndarray, d: int, valid: np.ndarray, radius: int) -> np.ndarray:
-    """The positions i, among the bits of ``valid``, whose value differs from that at i + d in radius (up to 3) or fewer bits."""
+def _over(counter: list[np.ndarray], overflow: np.ndarray, radius: int) -> np.ndarray:
+    """Where the count, of bits from the lowest up, is above the radius."""
+    above, equal = overflow, ~np.zeros_like(overflow)
+    for i in range(len(counter) - 1, -1, -1):
+        if radius >> i & 1:
+            equal = equal & counter[i]
+        else:
+            above, equal = above | equal & counter[i], equal & ~counter[i]
+    return above
+
+
+def near_words(planes: Callable[[int, slice | np.ndarray], np.ndarray], valid: np.ndarray, radius: int) -> np.ndarray:
+    """The positions, among the bits of ``valid``, whose planes of differing bits hold radius or fewer ones. planes(k, at): the
+    k-th eight planes, of the words ``at``."""
     n = len(valid)
     alive = np.flatnonzero(valid)
-    ones, twos, over = (np.zeros(n, np.uint64) for _ in range(3))
-    other = _shifted(planes, d, n)
+    counter, overflow = [np.zeros(n, np.uint64) for _ in range(max(1, radius.bit_length()))], np.zeros(n, np.uint64)
     for k in range(0, 64, 8):
-        dense = len(alive) > n // 2
-        at = slice(None) if dense else alive
-        a, b, c, o = planes[k : k + 8, :n][:, at] ^ other[k : k + 8][:, at], ones[at], twos[at], over[at]
-        for x in a:  # carry-save: ones, twos and what overflows them
-            carry = b & x
-            b = b ^ x
-            o = o | (c & carry)
-            c = c ^ carry
-        ones[at], twos[at] = b, c
-        passed = {0: b | c, 1: c, 2: b & c, 3: np.zeros_like(b)}[radius]
-        over[at] = o | passed if radius < 3 else o
-        alive = np.flatnonzero(valid & ~over)
+        at = slice(None) if len(alive) > n // 2 else alive
+        own, lost = [c[at] for c in counter], overflow[at]
+        for carry in planes(k, at):  # carry-save: what overflows one bit is added to the next
+            for i, bit in enumerate(own):
+                own[i], carry = bit ^ carry, bit & carry
+            lost = lost | carry
+        for c, x in zip(counter, own):
+            c[at] = x
+        overflow[at] = _over(own, lost, radius)  # above the radius once, above it for good
+        alive = np.flatnonzero(valid & ~overflow)
         if not len(alive):
             return alive
-    left = np.zeros(n, np.uint64)
-    left[alive] = (valid & ~over)[alive]
-    return np.flatnonzero(np.unpackbits(left.view(np.uint8), bitorder="little"))
+    return np.flatnonzero(np.unpackbits((valid & ~overflow).view(np.uint8), bitorder="little"))
+
+
+def close_pairs(planes: np.ndarray, d: int, valid: np.ndarray, radius: int) -> np.ndarray:
+    """The positions i, among the bits of ``valid``, whose value differs from that at i + d in radius or fewer bits."""
+    n, other = len(valid), _shifted(planes, d, len(valid))
+    return near_words(lambda k, at: planes[k : k + 8, :n][:, at] ^ other[k : k + 8][:, at], valid, radius)
+
+
+def within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Do a[i] and b[i] differ in radius or fewer bits?"""
+    out = np.zeros(len(a), bool)
+    if len(a):
+        planes = planes_of(a ^ b)
+        valid = np.packbits(np.pad(np.ones(len(a), np.uint8), (0, -len(a) % 64)), bitorder="little").view(np.uint64)
+        out[near_words(lambda k, at: planes[k : k + 8, : len(valid)][:, at], valid, radius)] = True
+    return out
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = ROWS) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of rows that come in group order, some whole groups at a time: ``rows`` rows or a little more, and never the
+    partition as a whole."""
+    held: list[pa.RecordBatch] = []
+
+    def columns(table: pa.Table) -> dict[str, np.ndarray]:
+        return {c: np.ascontiguousarray(table.column(c).to_numpy()) for c in table.column_names}
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            table = pa.Table.from_batches(held)
+            change = np.zeros(table.num_rows - 1, bool)
+            for c in keys:
+                column = table.column(c).to_numpy()
+                change |= column[1:] != column[:-1]
+            if change.any():
+                cut = int(np.flatnonzero(change)[-1]) + 1
+                yield columns(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield columns(pa.Table.from_batches(held))
+
+
+def by_size(change: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the groups of two or more, the largest group first, so that at distance d only a prefix is left. change: which rows
+    begin a group, but the first. Returns their positions, how many followers each has in its group, and starts and sizes
+    of the groups among them."""
+    first = np.concatenate([[0], np.flatnonzero(change) + 1])
+    size = np.diff(np.concatenate([first, [len(change) + 1]]))
+    order = np.argsort(-size, kind="stable")
+    order = order[size[order] > 1]
+    first, size = first[order], size[order]
+    start = np.cumsum(size) - size
+    at = np.repeat(first - start, size) + np.arange(size.sum())
+    return at, np.repeat(start + size, size) - np.arange(size.sum()) - 1, start, size
 
 
 def _close_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -141,26 +210,18 @@ def _close_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
 
 def link_sorted(choice: np.ndarray, key: np.ndarray, value: np.ndarray, masks: list[int], radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (value, representative) of groups of equal (choice, key) that stand together; a tree for each component."""
-    n = len(value)
-    if not n:
+    if not len(value):
         return value, value
-    change = np.flatnonzero((choice[1:] != choice[:-1]) | (key[1:] != key[:-1])) + 1
-    first = np.concatenate([[0], change])
-    size = np.diff(np.concatenate([first, [n]]))
-    order = np.argsort(-size, kind="stable")  # large groups first: at distance d only a prefix is left
-    order = order[size[order] > 1]
-    first, size = first[order], size[order]
+    at, left, start, size = by_size((choice[1:] != choice[:-1]) | (key[1:] != key[:-1]))
     if not len(size):
         return value[:0], value[:0]
-    start = np.cumsum(size) - size
-    at = np.repeat(first - start, size) + np.arange(size.sum())
-    choice, value = choice[at], value[at]
-    left = np.repeat(start + size, size) - np.arange(size.sum()) - 1  # followers in the group
-    planes = _planes(value.view(np.uint64))
+    choice, value = choice[at] % len(masks), value[at]
+    planes = planes_of(value.view(np.uint64))
     labels = np.arange(len(value))
     unsigned, chosen = value.view(np.uint64), np.array(masks, np.uint64)
     for d in range(1, int(size[0])):
-        m = int(start[np.searchsorted(-size, -d, "left") - 1] + size[np.searchsorted(-size, -d, "left") - 1])
+        last = np.searchsorted(-size, -d, "left") - 1
+        m = int(start[last] + size[last])
         valid = np.packbits(np.pad(left[:m] >= d, (0, -m % 64)), bitorder="little").view(np.uint64)
         i = close_pairs(planes, d, valid, radius)
         if len(i):
@@ -173,21 +234,34 @@ def link_sorted(choice: np.ndarray, key: np.ndarray, value: np.ndarray, masks: l
     return value[moved], value[labels[moved]]
 
 
-def links(fingerprints: DataFrame, radius: int = RADIUS, column: str = "fp") -> DataFrame:
-    """(a, b): links between distinct fingerprints whose components are those of all pairs within the radius."""
+def _finer(mask: int, blocks: int, radius: int) -> list[int]:
+    """The bits of the mask with each choice of blocks - radius blocks of the others."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    edges = [len(rest) * i // blocks for i in range(blocks + 1)]
+    block = [sum(1 << b for b in rest[x:y]) for x, y in zip(edges, edges[1:])]
+    return [mask | sum(c) for c in combinations(block, blocks - radius)]
+
+
+def links(fingerprints: DataFrame, radius: int = RADIUS, column: str = "fp", group: int = GROUP) -> DataFrame:
+    """(a, b): links between distinct fingerprints whose components are those of all pairs within the radius (3 at most)."""
     masks = block_masks(radius + 3, radius)
-    signed = [_signed(m) for m in masks]
-    spread = fingerprints.select(F.col(column).alias("value"), F.posexplode(F.array(*[F.col(column).bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "key"))
+    mask = lambda value, m: value.bitwiseAND(F.lit(_signed(m)))
+    spread = fingerprints.select(F.col(column).alias("value"), F.posexplode(F.array(*[mask(F.col(column), m) for m in masks])).alias("choice", "key"))
     n = partitions(fingerprints.sparkSession)
+    crowded = materialize(spread.groupBy("choice", "key").count().filter(F.col("count") > group).select("choice", "key"), "crowded")
+    if not crowded.isEmpty():
+        finer = F.lit(None)
+        for i, m in enumerate(masks):
+            finer = F.when(F.col("choice") == i, F.array(*[mask(F.col("value"), x) for x in _finer(m, radius + 3, radius)])).otherwise(finer)
+        cut = spread.join(crowded, ["choice", "key"], "left_semi").select("value", "choice", F.posexplode(finer).alias("sub", "key"))
+        cut = cut.select("value", (F.col("choice") + len(masks) * (F.col("sub") + 1)).alias("choice"), "key")
+        spread = spread.join(crowded, ["choice", "key"], "left_anti").select("value", "choice", "key").unionByName(cut)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (rows := list(batches)):
-            return
-        table = pa.Table.from_batches(rows)
-        choice, key, value = (table.column(c).to_numpy() for c in ("choice", "key", "value"))
-        a, b = link_sorted(choice, key, np.ascontiguousarray(value), masks, radius)
-        for i in range(0, len(a), 50_000):
-            yield pa.RecordBatch.from_pydict({"a": a[i : i + 50_000], "b": b[i : i + 50_000]})
+        for rows in whole_groups(batches, ["choice", "key"]):
+            a, b = link_sorted(rows["choice"], rows["key"], rows["value"], masks, radius)
+            for i in range(0, len(a), 50_000):
+                yield pa.RecordBatch.from_pydict({"a": a[i : i + 50_000], "b": b[i : i + 50_000]})
 
     return spread.repartition(n, "choice", "key").sortWithinPartitions("choice", "key").mapInArrow(link, "a long, b long")
 

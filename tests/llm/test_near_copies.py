@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -46,10 +47,31 @@ def test_stage_keeps_one_of_each_component(spark, copies):
 def test_pairs_across_components_are_found(spark, copies, monkeypatch):
     """Also where no set is similar to the smallest key of its tokens."""
     docs = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string").repartition(2)
-    monkeypatch.setattr(N, "_near", lambda n, m: n < 0)
+    monkeypatch.setattr(N, "_stars", lambda prefixes, sets: spark.createDataFrame([], "a long, b long"))
     assert sorted(r.doc_id for r in N.drop_near_copies(docs).collect()) == sorted(set(brute_groups(copies)))
 
 
+def test_tiles_lose_no_pair(spark, copies, monkeypatch):
+    """Groups cut into tiles of two sets."""
+    docs = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(N, "_stars", lambda prefixes, sets: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(N._across, "__defaults__", (2,))
+    assert sorted(r.doc_id for r in N.drop_near_copies(docs).collect()) == sorted(set(brute_groups(copies)))
+
+
+def test_similar_sets_are_within_the_radius():
+    """Pairs just at 0.8, of any size: the radius is not what loses one."""
+    rng = np.random.default_rng(6)
+    most = 0
+    for n in [5] * 3000 + [9, 10, 18, 45, 90, 450] * 300:
+        a = rng.integers(0, 1 << 63, n, np.int64).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, n).astype(np.uint64)
+        same = -(-4 * n // 5) if n < 9 else n - n // 9  # one less, or as many replaced as 0.8 bears
+        b = a[:same] if n < 9 else np.concatenate([a[:same], rng.integers(0, 1 << 63, n - same, np.int64).astype(np.uint64) * np.uint64(2)])
+        assert N.similar(np.unique(a), np.unique(b))
+        most = max(most, bin(S.fingerprint_from(a) ^ S.fingerprint_from(b)).count("1"))
+    assert most <= N.RADIUS
+
+
 def test_odd_documents(odd_docs, no_docs):
     out = N.drop_near_copies(odd_docs)
     assert out.columns == odd_docs.columns

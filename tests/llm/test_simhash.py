@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -72,11 +73,43 @@ def test_bit_sliced_distances(radius, d):
     values[d:] = np.where(rng.random(300 - d) < 0.5, values[: 300 - d] ^ (np.uint64(1) << rng.integers(0, 64, 300 - d).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300 - d).astype(np.uint64)), values[d:])
     m = 300 - d
     valid = np.packbits(np.pad(np.ones(m, np.uint8), (0, -m % 64)), bitorder="little").view(np.uint64)
-    got = S.close_pairs(S._planes(values), d, valid, radius)
+    got = S.close_pairs(S.planes_of(values), d, valid, radius)
     want = [i for i in range(m) if bin(int(values[i] ^ values[i + d])).count("1") <= radius]
     assert got.tolist() == want
 
 
+@pytest.mark.parametrize("radius", [0, 2, 5, 16, 28, 63])
+def test_bit_sliced_pairs(radius):
+    rng = np.random.default_rng(radius)
+    a = rng.integers(0, 1 << 62, 500).astype(np.uint64)
+    b = a ^ (rng.integers(0, 1 << 62, 500) & rng.integers(0, 1 << 62, 500) & -(np.arange(500) % 3 > 0).astype(np.int64)).astype(np.uint64)
+    assert S.within(a, b, radius).tolist() == [bin(int(x ^ y)).count("1") <= radius for x, y in zip(a, b)]
+    assert len(S.within(a[:0], b[:0], radius)) == 0
+
+
+def test_groups_come_whole():
+    rng = np.random.default_rng(1)
+    key = np.repeat(np.arange(200), rng.integers(1, 40, 200))
+    batches = [pa.RecordBatch.from_pydict({"key": key[a : a + 97]}) for a in range(0, len(key), 97)]
+    parts = [x["key"] for x in S.whole_groups(iter(batches), ["key"], 300)]
+    assert np.concatenate(parts).tolist() == key.tolist() and len(parts) > 5
+    assert all(a[-1] != b[0] for a, b in zip(parts, parts[1:]))
+    assert list(S.whole_groups(iter([]), ["key"])) == []
+
+
+def test_crowded_groups_are_cut_and_lose_no_link(spark):
+    """A family that shares 38 bits and more: the cut groups stay small."""
+    rng = random.Random(2)
+    stem = rng.getrandbits(64)
+    family = sorted({stem ^ sum(1 << b for b in rng.sample(range(26), rng.randint(0, 9))) for _ in range(1500)})
+    signed = [v - (1 << 64) if v >> 63 else v for v in family]
+    table = spark.createDataFrame([(v,) for v in signed], "fp long").repartition(3)
+    whole, cut = (S.components(S.links(table, group=g)).collect() for g in (10**9, 50))
+    groups = lambda rows: {frozenset(r.node for r in rows if r.label == k) for k in {r.label for r in rows}}
+    assert groups(whole) == groups(cut) and len(groups(whole)) >= 1
+    assert max(64 - bin(m).count("1") for mask in S.block_masks(5, 2) for m in S._finer(mask, 5, 2)) <= 11
+
+
 @pytest.mark.parametrize("finish", [S.FINISH_LINKS, 0])
 def test_components_equal_brute_force(spark, family, finish):
     """Also when every round of contraction is distributed."""
