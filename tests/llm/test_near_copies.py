@@ -47,14 +47,29 @@ def test_stage_keeps_one_of_each_component(spark, copies):
 def test_pairs_across_components_are_found(spark, copies, monkeypatch):
     """Also where no set is similar to the smallest key of its tokens."""
     docs = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string").repartition(2)
-    monkeypatch.setattr(N, "_stars", lambda prefixes, sets: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(N, "_stars", lambda groups, sets: spark.createDataFrame([], "a long, b long"))
     assert sorted(r.doc_id for r in N.drop_near_copies(docs).collect()) == sorted(set(brute_groups(copies)))
 
 
+def test_hot_shingles_are_grouped_alike(spark, copies, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string").repartition(3)
+    common = spark.sparkContext.broadcast(N._frequencies(docs, "text"))
+    signatures, found = N._signatures(docs, "doc_id", "text", common), []
+    for hot in (0, 1, 10**9):
+        monkeypatch.setattr(N, "HOT", hot)
+        found.append(sorted(map(tuple, N._groups(signatures, common).distinct().collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+    sets = {}
+    for r in signatures.collect():
+        for t in r.prefix:
+            sets.setdefault(t, set()).add(r.key)
+    assert found[0] == sorted((t, k, min(own)) for t, own in sets.items() for k in own if k != min(own))
+
+
 def test_tiles_lose_no_pair(spark, copies, monkeypatch):
     """Groups cut into tiles of two sets."""
     docs = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string").repartition(2)
-    monkeypatch.setattr(N, "_stars", lambda prefixes, sets: spark.createDataFrame([], "a long, b long"))
+    monkeypatch.setattr(N, "_stars", lambda groups, sets: spark.createDataFrame([], "a long, b long"))
     monkeypatch.setattr(N._across, "__defaults__", (2,))
     assert sorted(r.doc_id for r in N.drop_near_copies(docs).collect()) == sorted(set(brute_groups(copies)))
 
