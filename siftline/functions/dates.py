@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import trim_space
+
 #: Accepted layouts, in order, after whole numbers (Unix seconds, or milliseconds above 10^12).
 _LAYOUTS = [
     (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$", None),
@@ -32,6 +34,6 @@ def parse_date(text: Column) -> Column:
 
 def first_date(texts: list[Column]) -> tuple[Column, Column]:
     """(published_at, raw): the first text that parses; else null with the first one that is not empty."""
-    tidy = [F.nullif(F.trim(t), F.lit("")) for t in texts]
+    tidy = [F.nullif(trim_space(t), F.lit("")) for t in texts]
     raw = F.coalesce(*[F.when(parse_date(t).isNotNull(), t) for t in tidy], *tidy)
     return F.coalesce(*[parse_date(t) for t in tidy]), F.coalesce(raw, F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_of, let, rank_tokens, split_words
+from .text import any_of, let, rank_tokens, split_words, trim_space
 from .urls import host as url_host
 
 #: Fixed values.
@@ -70,7 +70,7 @@ def query_variants(q: Column) -> Column:
 
 def domain_host(domain: Column) -> Column:
     """Host of a site term: keeps ``www.``, strips ``*.``."""
-    d = F.lower(F.trim(domain))
+    d = F.lower(trim_space(domain))
     full = F.when(F.contains(d, F.lit("://")), d).otherwise(F.concat(F.lit("https://"), d))
     return F.when(d == "", "").otherwise(F.regexp_replace(url_host(full), r"^\*\.", ""))
 
@@ -81,7 +81,7 @@ def _site_terms(domains: Column, prefix: str) -> Column:
 
 def backend_query_text(q: Column, exact: Column, include: Column, exclude: Column) -> Column:
     """Exact queries are quoted once; one include term bare, several as (a OR b); exclude terms follow."""
-    text = F.trim(q)
+    text = trim_space(q)
     quoted = (F.length(text) >= 2) & F.startswith(text, F.lit('"')) & F.endswith(text, F.lit('"'))
     escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     head = F.when(exact & ~quoted, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(text)
@@ -92,14 +92,14 @@ def backend_query_text(q: Column, exact: Column, include: Column, exclude: Colum
 
 def candidate_budget(depth: Column, max_results: Column, results_cap: Column) -> Column:
     """1, 5 or 3 times the results, from max_results to the cap."""
-    d = F.lower(F.trim(F.coalesce(depth, F.lit(""))))
+    d = F.lower(trim_space(F.coalesce(depth, F.lit(""))))
     times = F.when(d.isin("fast", "ultra-fast"), 1).when(d == "advanced", 5).otherwise(3)
     return F.least(F.greatest(max_results * times, max_results), results_cap)
 
 
 def normalize_domain_filter(item: Column) -> Column:
     """P10: the bare host of a filter, or empty if it is not valid: it needs a dot and no white space."""
-    d = F.lower(F.trim(item))
+    d = F.lower(trim_space(item))
     full = F.when(F.contains(d, F.lit("://")), d).otherwise(F.concat(F.lit("https://"), d))
     h = F.regexp_replace(F.regexp_replace(url_host(full), r"^\*\.", ""), r"^www\.", "")
     return F.when((d == "") | F.rlike(d, F.lit(r"[ \t\r\n]")) | ~F.contains(h, F.lit(".")), "").otherwise(h)
@@ -108,7 +108,7 @@ def normalize_domain_filter(item: Column) -> Column:
 def control_error(time_range: Column, safesearch: Column, include: Column, exclude: Column, chunks: Column, depth: Column) -> Column:
     """P10: the first control that is not valid, or null."""
     bad = lambda items: F.exists(items, lambda x: normalize_domain_filter(x) == "")
-    tidy = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    tidy = lambda c: F.lower(trim_space(F.coalesce(c, F.lit(""))))
     return (
         F.when(~tidy(time_range).isin(TIME_RANGES), "time_range").when((safesearch < 0) | (safesearch > 2), "safesearch").when(bad(include), "include_domains")
         .when(bad(exclude), "exclude_domains").when((chunks < 0) | (chunks > 3), "chunks_per_source").when(~tidy(depth).isin(DEPTHS), "search_depth")

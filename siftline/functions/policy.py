@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import any_of
+from .text import any_of, trim_space
 from .urls import host, scheme
 
 #: Address blocks that are not public.
@@ -22,6 +22,8 @@ PRIVATE_V6_BLOCKS = ["::1/128", "fc00::/7", "fe80::/10", "ff00::/8"]
 POLICIES = [("external", ["http", "https"], 5, False), ("internal", ["http", "https"], 5, True)]
 MAX_BODY, MAX_DECOMPRESSED = 5 << 20, 20 << 20
 ALLOWED_TYPES = ["text/html", "application/xhtml+xml", "text/plain"]
+#: Fixed value: what counts as a script.
+SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
 JS_RAW_BYTES, JS_TEXT_BYTES, JS_SCRIPT_SHARE = 1024, 200, 0.5
 IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$"
 
@@ -46,25 +48,31 @@ def is_public_ipv4(address: Column) -> Column:
     return F.when(is_ipv4(address), ~any_of([number == 0, *inside]))
 
 
+def address_public(text: str | None) -> bool | None:
+    """P22 of one address of either family; None for what is no address. Embedded IPv4 addresses are judged as such."""
+    try:
+        ip = ipaddress.ip_address(text or "")
+    except ValueError:
+        return None
+    if "%" in (text or ""):
+        return None
+    ip = getattr(ip, "ipv4_mapped", None) or ip
+    blocks = PRIVATE_BLOCKS if ip.version == 4 else PRIVATE_V6_BLOCKS
+    return int(ip) != 0 and not any(ip in ipaddress.ip_network(b) for b in blocks)
+
+
 @F.pandas_udf(T.BooleanType())
 def _is_public_v6(address: pd.Series) -> pd.Series:
-    blocks = [ipaddress.ip_network(b) for b in PRIVATE_V6_BLOCKS]
-    v4_blocks = [ipaddress.ip_network(b) for b in PRIVATE_BLOCKS]
+    return address.map(address_public)
 
-    def public(text: str | None) -> bool | None:
-        try:
-            ip = ipaddress.IPv6Address(text or "")
-        except ValueError:
-            return None
-        if ip.ipv4_mapped is not None:
-            return int(ip.ipv4_mapped) != 0 and not any(ip.ipv4_mapped in b for b in v4_blocks)
-        return int(ip) != 0 and not any(ip in b for b in blocks)
 
-    return address.map(public)
+@F.pandas_udf(T.BooleanType())
+def _all_public(answers: pd.Series) -> pd.Series:
+    return pd.Series([None if own is None else all(address_public(a) for a in own) for own in answers], dtype=object)
 
 
 def is_public_ip(address: Column) -> Column:
-    """P22 for both families: IPv4 by ranges; IPv6, with embedded IPv4 addresses judged as such, by an Arrow UDF. Null for no address."""
+    """P22 for both families: IPv4 by ranges; IPv6 by an Arrow UDF. Null for no address."""
     return F.when(F.contains(address, F.lit(":")), _is_public_v6(address)).otherwise(is_public_ipv4(address))
 
 
@@ -76,20 +84,21 @@ def choose_user_agent(url: Column, override: Column, default: Column, pool: Colu
 
 
 def egress_reason(url: Column, schemes: Column, deny: Column, allow: Column, allow_private: Column, answers: Column) -> Column:
-    """The first reason to block, or null. answers: the addresses that the host resolves to, null if it does not."""
+    """The first reason to block, or null. Literal addresses are judged themselves, other hosts by
+    ``answers``, the addresses of either family that they resolve to (null if they do not)."""
     h = host(url)
     folded = lambda items: F.transform(items, F.lower)
-    private = F.exists(answers, lambda a: ~F.coalesce(is_public_ipv4(a), F.lit(False)))
+    literal, private = is_public_ip(h), ~_all_public(answers)
     return (
         F.when(~F.array_contains(folded(schemes), scheme(url)), "scheme_not_allowed").when(h == "", "empty_host").when(F.array_contains(folded(deny), h), "host_denied")
         .when((F.size(allow) > 0) & ~F.array_contains(folded(allow), h), "host_not_allowlisted").when(allow_private, F.lit(None))
-        .when(is_ipv4(h), F.when(~is_public_ipv4(h), "private_ip_blocked")).when(answers.isNull() | (F.size(answers) == 0), "resolve_failed").when(private, "private_ip_blocked")
+        .when(literal.isNotNull(), F.when(~literal, "private_ip_blocked")).when(answers.isNull() | (F.size(answers) == 0), "resolve_failed").when(private, "private_ip_blocked")
     )
 
 
 def mime_allowed(content_type: Column, allowed: list[str] = ALLOWED_TYPES) -> Column:
     """Parameters stripped, case folded."""
-    return F.lower(F.trim(F.substring_index(content_type, ";", 1))).isin(allowed)
+    return F.lower(trim_space(F.substring_index(content_type, ";", 1))).isin(allowed)
 
 
 def fetch_budget(size: Column, decompressed: Column, gzip: Column, sniffed: Column) -> Column:
@@ -108,9 +117,9 @@ def should_retry(status: Column, error: Column) -> Column:
 
 def js_required(html: Column, text: Column) -> Column:
     """P20: 1024 raw bytes or more, under 200 bytes of trimmed text, over half of the raw bytes in scripts."""
-    scripts = F.aggregate(F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*>.*?</script>"), F.lit(0)), F.lit(0), lambda n, s: n + F.octet_length(s))
+    scripts = F.aggregate(F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(0)), F.lit(0), lambda n, s: n + F.octet_length(s))
     raw = F.octet_length(html)
-    return (raw >= JS_RAW_BYTES) & (F.octet_length(F.trim(F.coalesce(text, F.lit("")))) < JS_TEXT_BYTES) & (scripts / raw > JS_SCRIPT_SHARE)
+    return (raw >= JS_RAW_BYTES) & (F.octet_length(trim_space(F.coalesce(text, F.lit("")))) < JS_TEXT_BYTES) & (scripts / raw > JS_SCRIPT_SHARE)
 
 
 def render_unwrap(content_type: Column, body: Column) -> Column:

@@ -22,6 +22,13 @@ CJK_SHINGLE = 2
 MAX_PHRASE = 4
 
 _UNICODE_SPACE = r"(?U)\s+"
+#: The characters that trimming takes away.
+SPACES = "\t\n\v\f\r \u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def trim_space(text: Column) -> Column:
+    """The text without white space at either end, of any kind."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

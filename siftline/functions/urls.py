@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_of, let
+from .text import any_of, let, trim_space
 
 #: Query parameters that only track.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "mc_cid", "mc_eid", "igshid"]
@@ -110,7 +110,7 @@ def is_article(url: Column) -> Column:
 
 def domain_filters(items: Column) -> Column:
     """Items like ``*.example.com/docs`` as (host, path); what has no host is dropped."""
-    item = lambda x: F.lower(F.trim(x))
+    item = lambda x: F.lower(trim_space(x))
     full = lambda x: F.when(F.contains(item(x), F.lit("://")), item(x)).otherwise(F.concat(F.lit("https://"), item(x)))
     parse = lambda x: F.struct(F.regexp_replace(F.regexp_replace(host(full(x)), r"^\*\.", ""), r"^www\.", "").alias("host"), F.regexp_replace(path(full(x)), "/+$", "").alias("path"))
     return F.filter(F.transform(F.filter(items, lambda x: item(x) != ""), parse), lambda f: f["host"] != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_token_string, count_in, length_multiplier, let, phrase_boost, phrase_in, query_profile, split_chunks, tokens_in
+from ..functions.text import chunk_token_string, count_in, length_multiplier, let, phrase_boost, phrase_in, query_profile, split_chunks, tokens_in, trim_space
 
 MAX_PER_SOURCE = 3
 FREQUENCY_WEIGHT, CONTEXT_CAP = 0.35, 0.18
@@ -13,7 +13,7 @@ FREQUENCY_WEIGHT, CONTEXT_CAP = 0.35, 0.18
 
 def source_text(main_text: Column, markdown: Column) -> Column:
     """the main text, or the Markdown where that is blank."""
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    blank = lambda c: trim_space(F.coalesce(c, F.lit(""))) == ""
     return F.when(~blank(main_text), main_text).when(~blank(markdown), markdown).otherwise("")
 
 

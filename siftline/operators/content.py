@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import trim_space
 from ..schema import CONTENT
 
 FORMATS = ["markdown", "html", "json"]
@@ -36,7 +37,7 @@ def apply_rendered_content(results: DataFrame, content: str = "content") -> Data
 def project_formats(results: DataFrame, formats: Column) -> DataFrame:
     """Without a known format all stays. Else markdown and html stay if asked for, the content's markdown and HTML go, and its main
     text stays for json only."""
-    asked = F.filter(F.transform(formats, lambda f: F.lower(F.trim(f))), lambda f: f.isin(FORMATS))
+    asked = F.filter(F.transform(formats, lambda f: F.lower(trim_space(f))), lambda f: f.isin(FORMATS))
     none, has = F.size(asked) == 0, lambda f: F.array_contains(asked, f)
     keep = lambda name, fmt: F.when(none | has(fmt), F.col(name)).otherwise("")
     c = F.col("content")
@@ -46,7 +47,7 @@ def project_formats(results: DataFrame, formats: Column) -> DataFrame:
 
 def summarizable_body(content: Column, markdown: Column) -> Column:
     """P25: the first of content.markdown, content.main_text and the row's markdown that is not blank."""
-    filled = lambda c: F.when(F.trim(or_empty(c)) != "", c)
+    filled = lambda c: F.when(trim_space(or_empty(c)) != "", c)
     return F.coalesce(filled(content["markdown"]), filled(content["main_text"]), filled(markdown))
 
 
@@ -63,8 +64,8 @@ def cut_bytes(text: Column, most: int) -> Column:
 
 def summarize_prompt(body: Column, fmt: Column, instructions: Column) -> Column:
     """F29."""
-    style = F.when(F.trim(or_empty(fmt)) == "", "markdown").otherwise(F.trim(fmt))
-    extra = F.when(F.trim(or_empty(instructions)) != "", F.concat(F.lit(" Extra instructions: "), F.trim(instructions))).otherwise("")
+    style = F.when(trim_space(or_empty(fmt)) == "", "markdown").otherwise(trim_space(fmt))
+    extra = F.when(trim_space(or_empty(instructions)) != "", F.concat(F.lit(" Extra instructions: "), trim_space(instructions))).otherwise("")
     return F.concat(F.lit("Summarize the page below as "), style, F.lit("."), extra, F.lit("\n\n<page>\n"), sanitize_page(cut_bytes(body, PROMPT_BYTES)), F.lit("\n</page>\n"))
 
 

@@ -89,6 +89,11 @@ def quality_adjustment(query: Column, url: Column, published_at: Column, unsuppo
     return F.least(F.greatest(base + F.when(intent.is_fresh_for_ranking(query), fresh).otherwise(when(urls.is_reference(url), 0.15)), F.lit(LOWEST)), F.lit(HIGHEST))
 
 
+def total_score(query: Column, bm25: Column, engines: Column, quality: Column) -> Column:
+    """What results are sorted by. A query without tokens scores nothing, so its results keep their order."""
+    return F.when(F.size(rank_tokens(query)) == 0, F.lit(0.0)).otherwise(F.round(bm25 + engine_bonus(engines) + quality, 9))
+
+
 def ranked(scored: DataFrame, limit: int | None = None, score: str = "score", pos: str = "pos") -> DataFrame:
     """Rank within the query by score, earlier rows first among equals; at most ``limit`` rows a query."""
     out = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), pos)))

@@ -38,7 +38,7 @@ def search(
     ranking = rows.select("query_id", "pos", "q", F.coalesce(F.nullif("content.title", F.lit("")), "title").alias("title"), F.concat_ws(" ", "snippet", "main_text").alias("text"))
     quality = rank.quality_adjustment(F.col("q"), F.col("url"), F.col("published_at"), F.col("unsupported"), as_of)
     scored = rows.join(rank.bm25(ranking, "pos"), ["query_id", "pos"])
-    scored = scored.withColumn("score", F.round(F.col("bm25") + rank.engine_bonus(F.col("engines")) + quality, 9)).drop("bm25")
+    scored = scored.withColumn("score", rank.total_score(F.col("q"), F.col("bm25"), F.col("engines"), quality)).drop("bm25")
     ordered = cut(rank.ranked(scored).withColumn("pos", F.col("rank")).drop("rank"))
 
     source = chunks.source_text(F.col("content.main_text"), F.col("content.markdown"))

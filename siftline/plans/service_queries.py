@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACES
 from ..functions import policy
 from ..functions.urls import canonical_url, scheme
 from ..operators import cache, content, metrics
@@ -24,9 +25,11 @@ CONTENT_ROWS = [
     (1, "T", "", "old", "m0", "h0", "2026-01-01 00:00:00", '{"title":"C","author":"A","markdown":"M","cleaned_html":"H","published_at":"2026-02-02T00:00:00Z"}'),
     (2, "", "bad", "", "", "", None, '{"title":"C","unsupported_reason":"js_required"}'), (3, "", "", "", "", "", None, '{"unsupported_reason":"js_required","main_text":"text","markdown":" "}'),
     (4, "T", "x", "a", "m", "h", "2026-01-01 00:00:00", None), (5, "", "", "a", "row markdown", "h", None, "{}"),
+    (6, "", "", "a", "\n\t", "h", None, '{"markdown":"\\n\\n","main_text":"\\t"}'), (7, "", "", "a", "\nrow ", "h", None, '{"markdown":"\\n","main_text":"\\u00a0"}'),
 ]
 _CONTENT_SCHEMA = "id int, title string, unsupported string, author string, markdown string, html string, published string, blob string"
 _CV = f"({values(CONTENT_ROWS)}) v(id, title, unsupported, author, markdown, html, published, blob)"
+_trimmed = lambda x: f"trim({x}, '{SPACES}')"
 _J = lambda f: f"coalesce(json_extract_string(blob, '$.{f}'), '')"
 
 
@@ -76,7 +79,7 @@ def format_projection(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("f.f_id", "id", "markdown", "html", F.col("content.markdown").alias("content_markdown"), F.col("content.main_text").alias("main_text"))
 
 
-@query("summarizable_body", f"SELECT id, CASE WHEN trim({_J('markdown')}) <> '' THEN {_J('markdown')} WHEN trim({_J('main_text')}) <> '' THEN {_J('main_text')} WHEN trim(markdown) <> '' THEN markdown END AS body FROM {_CV}")
+@query("summarizable_body", f"SELECT id, CASE WHEN {_trimmed(_J('markdown'))} <> '' THEN {_J('markdown')} WHEN {_trimmed(_J('main_text'))} <> '' THEN {_J('main_text')} WHEN {_trimmed('markdown')} <> '' THEN markdown END AS body FROM {_CV}")
 def summarizable_body(spark: SparkSession, folder: str) -> DataFrame:
     return _content_rows(spark).select("id", content.summarizable_body(F.col("content"), F.col("markdown")).alias("body"))
 
@@ -137,12 +140,13 @@ def parse_pages(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("page_id", "canonical", "content.title", "content.language", "content.main_text", "content.unsupported_reason")
 
 
-JS_ROWS = [(1, "<html><script>" + "x" * 1500 + "</script><p>hi</p></html>", "hi"), (2, "<html><p>" + "word " * 300 + "</p></html>", "word " * 300), (3, "<script>x</script>", ""), (4, "<p>" + "y" * 1500 + "</p><script>z</script>", "short")]
+JS_ROWS = [(1, "<html><script>" + "x" * 1500 + "</script><p>hi</p></html>", "hi"), (2, "<html><p>" + "word " * 300 + "</p></html>", "word " * 300), (3, "<script>x</script>", ""), (4, "<p>" + "y" * 1500 + "</p><script>z</script>", "short"), (5, "<script>" + "x" * 1500 + "</script >", "hi"),
+    (6, "<SCRIPT a=b>" + "x" * 1500 + "</Script\n>", "\n" * 300), (7, "<script>" + "x" * 1500 + "</script>", "\t\u00a0" * 300 + "hi"), (8, "<script>" + "x" * 1500 + "</scripts>", "")]
 
 
 @query(
     "js_required",
-    f"""SELECT id, strlen(html) >= 1024 AND strlen(trim(t)) < 200 AND coalesce(list_sum(list_transform(regexp_extract_all(html, '(?is)<script\\b[^>]*>.*?</script>'), lambda s: strlen(s))), 0) / strlen(html) > 0.5 AS js
+    f"""SELECT id, strlen(html) >= 1024 AND strlen({_trimmed("t")}) < 200 AND coalesce(list_sum(list_transform(regexp_extract_all(html, '(?is)<script\\b[^>]*>.*?</script\\s*>'), lambda s: strlen(s))), 0) / strlen(html) > 0.5 AS js
     FROM (SELECT page_id AS id, html, html AS t FROM pages UNION ALL SELECT -id, h, t FROM ({values(JS_ROWS)}) v(id, h, t))""",
 )
 def js_required(spark: SparkSession, folder: str) -> DataFrame:
@@ -205,6 +209,7 @@ def ip_public(spark: SparkSession, folder: str) -> DataFrame:
     return literal(spark, IP_ROWS, "id int, ip string").select("id", F.when(public, "public").when(~public, "private").otherwise("no IPv4 address").alias("kind"))
 
 
+#: Addresses and the answer that each must give.
 IP6_ROWS = [(1, "2606:4700::1111", "public"), (2, "::1", "private"), (3, "fc00::1", "private"), (4, "::ffff:10.0.0.1", "private"), (5, "::ffff:8.8.8.8", "public"), (6, "1:2", "no address"), (7, "1.1.1.1", "public")]
 
 
@@ -219,16 +224,25 @@ EGRESS_ROWS = [
     (1, "https://ok.example/", [], [], False, ["1.1.1.1"]), (2, "ftp://ok.example/", [], [], False, ["1.1.1.1"]), (3, "https:///x", [], [], False, []), (4, "https://Bad.example/", ["bad.example"], [], False, ["1.1.1.1"]),
     (5, "https://other.example/", [], ["ok.example"], False, ["1.1.1.1"]), (6, "https://10.0.0.1/", [], [], False, []), (7, "https://10.0.0.1/", [], [], True, []), (8, "https://8.8.8.8/", [], [], False, []),
     (9, "https://none.example/", [], [], False, []), (10, "https://mixed.example/", [], [], False, ["1.1.1.1", "127.0.0.1"]), (11, "https://bad.example/", ["BAD.example"], ["bad.example"], True, ["1.1.1.1"]),
+    (12, "https://six.example/", [], [], False, ["2606:4700::1111"]), (13, "https://[::1]/", [], [], False, []), (14, "https://[2606:4700::1111]:8443/x", [], [], False, []), (15, "https://six.example/", [], [], False, ["2606:4700::1111", "fe80::1"]),
+    (16, "https://[::ffff:10.0.0.1]/", [], [], False, []), (17, "https://map.example/", [], [], False, ["::ffff:8.8.8.8", "1.1.1.1"]), (18, "https://bad.example/", [], [], False, ["no address"]), (19, "https://[fd00::2]/", [], [], True, []), (20, "https://[ff02::1]/", [], [], False, ["1.1.1.1"]),
 ]
 
 
+def _any_public_sql(x: str) -> str:
+    """Of either family, for addresses in their short form."""
+    mapped = f"regexp_extract({x}, '^::ffff:([0-9.]+)$', 1)"
+    six = f"regexp_matches({x}, '^[0-9a-f:]*:[0-9a-f:]*$') AND {x} LIKE '%:%:%'"
+    return f"(CASE WHEN {mapped} <> '' THEN {_public_sql(mapped)} WHEN {six} THEN {x} NOT IN ('::', '::1') AND NOT regexp_matches({x}, '^(f[cd][0-9a-f][0-9a-f]|fe[89ab][0-9a-f]|ff[0-9a-f][0-9a-f]):') ELSE {_public_sql(x)} END)"
+
+
 @query(
     "egress_validate",
     f"""WITH e AS (SELECT *, {S.host('url')} AS h FROM ({values(EGRESS_ROWS)}) v(id, url, deny, allow, private, answers))
     SELECT id, CASE WHEN {S.scheme('url')} NOT IN ('http', 'https') THEN 'scheme_not_allowed' WHEN h = '' THEN 'empty_host' WHEN list_contains(list_transform(deny, lambda x: lower(x)), h) THEN 'host_denied'
       WHEN len(allow) > 0 AND NOT list_contains(list_transform(allow, lambda x: lower(x)), h) THEN 'host_not_allowlisted' WHEN private THEN NULL
-      WHEN regexp_matches(h, '{policy.IPV4}') THEN CASE WHEN NOT {_public_sql('h')} THEN 'private_ip_blocked' END WHEN len(answers) = 0 THEN 'resolve_failed'
-      WHEN len(list_filter(answers, lambda a: NOT coalesce({_public_sql('a')}, false))) > 0 THEN 'private_ip_blocked' END AS reason FROM e""",
+      WHEN {_any_public_sql('h')} IS NOT NULL THEN CASE WHEN NOT {_any_public_sql('h')} THEN 'private_ip_blocked' END WHEN len(answers) = 0 THEN 'resolve_failed'
+      WHEN len(list_filter(answers, lambda a: NOT coalesce({_any_public_sql('a')}, false))) > 0 THEN 'private_ip_blocked' END AS reason FROM e""",
 )
 def egress_validate(spark: SparkSession, folder: str) -> DataFrame:
     rows = literal(spark, EGRESS_ROWS, "id int, url string, deny array<string>, allow array<string>, private boolean, answers array<string>")

@@ -27,10 +27,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or "/tmp/checkpoints/siftline"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, computed once: checkpointed in the shared folder of spark.checkpoint.dir, which a lost executor does not
-    take with it. Where no folder is set, one under /tmp is, as in local runs."""
+    take with it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir("/tmp/checkpoints/siftline")
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()

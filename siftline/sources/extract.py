@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import trim_space
 from ..functions.policy import js_required
 from ..functions.urls import canonical_url
 
@@ -85,7 +86,7 @@ def extract(html: pd.Series) -> pd.DataFrame:
 
 def raw_title(html: Column) -> Column:
     """The first title element's text as written, trimmed."""
-    return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return trim_space(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
 def meta(html: Column, name: str) -> Column:
@@ -100,7 +101,7 @@ def parse_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     """Pages with their canonical URL and content (title, main_text, markdown, author, description, language, unsupported_reason)."""
     h = F.col(html)
     rows = pages.withColumn("_e", extract(html))
-    reason = F.when(F.trim(F.coalesce(h, F.lit(""))) == "", "extract_failed").when(js_required(h, F.col("_e.main_text")), "js_required").otherwise("")
+    reason = F.when(trim_space(F.coalesce(h, F.lit(""))) == "", "extract_failed").when(js_required(h, F.col("_e.main_text")), "js_required").otherwise("")
     content = F.struct(
         F.col(url).alias("url"), F.col("_e.title").alias("title"), meta(h, "author").alias("author"), meta(h, "og:site_name").alias("site_name"), meta(h, "description").alias("description"),
         language(h).alias("language"), F.col("_e.main_text").alias("main_text"), F.col("_e.markdown").alias("markdown"), F.lit("").alias("cleaned_html"), reason.alias("unsupported_reason"),

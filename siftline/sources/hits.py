@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import trim_space
 from ..functions.dates import first_date
 from ..schema import API_PAGE
 
@@ -23,7 +24,7 @@ def hits_from_json(pages: DataFrame, max_results: int | None = None) -> DataFram
     text = lambda c: F.coalesce(c, F.lit(""))
     published, raw = first_date([r["published_at"], r["publishedDate"], r["published"], r["date"]])
     engines = F.when(F.size(F.coalesce(r["engines"], F.array().cast("array<string>"))) > 0, r["engines"]).when(text(r["engine"]) != "", F.array(r["engine"])).otherwise(F.array().cast("array<string>"))
-    metadata = F.create_map(F.lit("original_rank"), F.col("rank").cast("string"), F.lit("category"), text(r["category"]), F.lit("date"), F.trim(text(r["date"])), F.lit("published_at"), raw)
+    metadata = F.create_map(F.lit("original_rank"), F.col("rank").cast("string"), F.lit("category"), text(r["category"]), F.lit("date"), trim_space(text(r["date"])), F.lit("published_at"), raw)
     hits = rows.select(
         "query_id", "rank", text(r["url"]).alias("url"), text(r["title"]).alias("title"), text(r["content"]).alias("snippet"), engines.alias("engines"),
         published.alias("published_at"), F.map_filter(metadata, lambda k, v: v != "").alias("metadata"),
