@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import fold_sorted
+
 TTL_SECONDS = 3600
 
 
@@ -28,15 +30,15 @@ def misses(requests: DataFrame, artifacts: DataFrame, as_of, ttl_seconds: int =
 def simulate(accesses: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     """R2: accesses (key, ts, seq) of a cache that stores on a miss: whether each one hits.
 
-    A key is stored at its first access and again at the first one later than the store's expiry. The chain of stores is
-    folded over the key's sorted accesses.
+    A key is stored at its first access and again at the first one later than the store's expiry. One pass over the key's sorted
+    accesses.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "seq")))
-    start = F.struct(F.lit(None).cast("bigint").alias("stored"), F.array().cast("array<struct<seq:bigint,hit:boolean>>").alias("out"))
-    live = lambda s, a: F.coalesce(a["t"] - s["stored"] <= ttl_seconds * 1_000_000, F.lit(False))
-    step = lambda s, a: F.struct(F.when(live(s, a), s["stored"]).otherwise(a["t"]).alias("stored"), F.array_append(s["out"], F.struct(a["seq"].alias("seq"), live(s, a).alias("hit"))).alias("out"))
-    folded = accesses.groupBy("key").agg(F.aggregate(ordered, start, step)["out"].alias("out"))
-    return folded.select("key", F.explode("out").alias("o")).select("key", "o.seq", "o.hit")
+
+    def step(stored, t, seq):
+        live = stored is not None and t is not None and t - stored <= ttl_seconds * 1_000_000
+        return (stored if live else t), (seq, live)
+
+    return fold_sorted(accesses, "key", [F.unix_micros(F.col("ts").cast("timestamp")), F.col("seq")], step, f"seq {accesses.schema['seq'].dataType.simpleString()}, hit boolean")
 
 
 def previous_hop(hops: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Keyed state machines: token bucket, cooldown (R1, R5), as batch folds and as streams.
 
-The folds read a key's events in time order as one sorted array; the streams keep the same state for each key and process
+The folds read a key's events in time order, in one pass; the streams keep the same state for each key and process
 the same step, so that both agree on ordered input.
 """
 
@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.fold import fold_sorted
+
 RATE, BURST = 5.0, 20.0
 
 
@@ -25,19 +27,14 @@ def refill(tokens: float | None, last_ms: int | None, now_ms: int, rate: float,
 
 
 def token_bucket(requests: DataFrame, rate: float = RATE, burst: float = BURST) -> DataFrame:
-    """R1 over requests (key, ts, seq): key, seq, allowed, tokens (left)."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), "seq")))
-    start = F.struct(F.lit(float(burst)).alias("tokens"), F.lit(None).cast("bigint").alias("t"), F.array().cast("array<struct<seq:bigint,allowed:boolean,tokens:double>>").alias("out"))
+    """R1 over requests (key, ts, seq): key, seq, allowed, tokens (left). Linear in the requests of a key."""
 
-    def step(s, r):
-        elapsed = F.greatest(F.coalesce(r["t"] - s["t"], F.lit(0)), F.lit(0))
-        have = F.least(F.lit(float(burst)), s["tokens"] + elapsed / F.lit(1000.0) * rate)
-        left = F.when(have >= 1, have - 1).otherwise(have)
-        row = F.struct(r["seq"].alias("seq"), (have >= 1).alias("allowed"), left.alias("tokens"))
-        return F.struct(left.alias("tokens"), r["t"].alias("t"), F.array_append(s["out"], row).alias("out"))
+    def step(state, now, seq):
+        tokens, last = state or (None, None)
+        tokens, allowed = refill(tokens, last, last if now is None else now, rate, burst) if (now, last) != (None, None) else (burst - 1, burst >= 1)
+        return (tokens, last if now is None else now), (seq, allowed, tokens)
 
-    folded = requests.groupBy("key").agg(F.aggregate(ordered, start, step)["out"].alias("out"))
-    return folded.select("key", F.explode("out").alias("o")).select("key", "o.seq", "o.allowed", "o.tokens")
+    return fold_sorted(requests, "key", [F.unix_millis(F.col("ts").cast("timestamp")), F.col("seq")], step, f"seq {requests.schema['seq'].dataType.simpleString()}, allowed boolean, tokens double")
 
 
 class TokenBucket(StatefulProcessor):
@@ -91,16 +88,11 @@ def bucket_in_pandas_with_state(requests: DataFrame, rate: float = RATE, burst:
 
 def cooldown(outcomes: DataFrame, cooldown_seconds: int = 30) -> DataFrame:
     """R5 over calls (instance, ts, seq, ok): whether the instance was cooling when the call came. An error starts the cooldown,
-    a success ends it."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "seq", "ok")))
-    start = F.struct(F.lit(None).cast("bigint").alias("until"), F.array().cast("array<struct<seq:bigint,cooling:boolean>>").alias("out"))
-
-    def step(s, c):
-        row = F.struct(c["seq"].alias("seq"), F.coalesce(c["t"] < s["until"], F.lit(False)).alias("cooling"))
-        return F.struct(F.when(~c["ok"], c["t"] + cooldown_seconds * 1_000_000).alias("until"), F.array_append(s["out"], row).alias("out"))
-
-    folded = outcomes.groupBy("instance").agg(F.aggregate(ordered, start, step)["out"].alias("out"))
-    return folded.select("instance", F.explode("out").alias("o")).select("instance", "o.seq", "o.cooling")
+    a success ends it, so the call before tells."""
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    before = Window.partitionBy("instance").orderBy("ts", "seq", "ok")
+    cooling = ~F.lag("ok").over(before) & (t < F.lag(t).over(before) + cooldown_seconds * 1_000_000)
+    return outcomes.select("instance", "seq", F.coalesce(cooling, F.lit(False)).alias("cooling"))
 
 
 def cooldown_stream(outcomes: DataFrame, cooldown_seconds: int = 30) -> DataFrame:

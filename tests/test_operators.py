@@ -283,3 +283,50 @@ def test_windowed_counts_on_a_stream(spark, tmp_path):
     running = state.windowed_counts(stream, "kind").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     running.awaitTermination(90)
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, state.windowed_counts(frame, "kind").collect()))
+
+
+def test_folds_are_linear_in_the_events_of_a_key(spark):
+    """One key of 60,000 events, among others."""
+    import time
+
+    from siftline.operators import cache
+
+    rows = spark.range(60_000).select(F.lit(1).cast("long").alias("key"), F.timestamp_millis(F.col("id") * 150).alias("ts"), F.col("id").alias("seq"))
+    began = time.time()
+    got = [r.allowed for r in state.token_bucket(rows, 5.0, 20.0).orderBy("seq").collect()]
+    hits = cache.simulate(rows, 3).filter("hit").count()
+    assert time.time() - began < 30
+    tokens, last, want = None, None, []
+    for i in range(60_000):
+        tokens, allowed = state.refill(tokens, last, i * 150, 5.0, 20.0)
+        last = i * 150
+        want.append(allowed)
+    assert got == want and hits == 60_000 - -(-60_000 // 21)
+
+
+def test_a_query_without_tokens_keeps_the_order(spark):
+    rows = spark.createDataFrame([("?!", 1.0), ("word", 1.0)], "q string, b double")
+    scores = [r.s for r in rows.select(rank.total_score(F.col("q"), F.col("b"), F.array(F.lit("x")), F.lit(-0.5)).alias("s")).collect()]
+    assert scores == [0.0, 0.5]
+
+
+def test_white_space_of_any_kind_is_blank(spark):
+    from siftline.operators import chunks, content
+
+    blank = "\n\t\u00a0\u2003"
+    rows = spark.createDataFrame([(blank, "m")], "a string, b string")
+    assert rows.select(chunks.source_text(F.col("a"), F.col("b")).alias("s")).first().s == "m"
+    assert "Extra" not in rows.select(content.summarize_prompt(F.lit("x"), F.col("a"), F.col("a")).alias("s")).first().s
+
+
+def test_clusters_need_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from siftline.session import checkpoint_folder
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    context = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+    assert checkpoint_folder(context("local[4]"))
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            checkpoint_folder(context(master))
