@@ -7,14 +7,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, local runs).
-FALLBACK_SHARED_DIR = "/tmp/checkpoints/siftline"
+from ..session import checkpoint_folder
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the fallback where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_SHARED_DIR
-    return base.rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. A cluster must name one."""
+    return checkpoint_folder(spark).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
