@@ -61,9 +61,28 @@ def test_hot_shingles_are_grouped_alike(spark, copies, monkeypatch):
     assert found[0] == found[1] == found[2] and len(found[0]) > 100
     sets = {}
     for r in signatures.collect():
-        for t in r.prefix:
-            sets.setdefault(t, set()).add(r.key)
-    assert found[0] == sorted((t, k, min(own)) for t, own in sets.items() for k in own if k != min(own))
+        for i, t in enumerate(r.prefix):
+            sets.setdefault(t, set()).add((i, r.key))
+    assert found[0] == sorted((t, *x, *min(own)) for t, own in sets.items() for x in own if x != min(own))
+
+
+def test_one_family_gives_few_pairs(spark, monkeypatch):
+    """Copies of one original, most pairs of which are under 0.8."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(400)]
+    original = rng.choices(vocabulary, k=140)
+    out = []
+    for _ in range(400):
+        text = list(original)
+        for _ in range(rng.randint(0, 5)):
+            text[rng.randrange(140)] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(text))
+    docs = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string").repartition(4)
+    sizes, across = [], N._across
+    monkeypatch.setattr(N, "_across", lambda *a: sizes.append(a) or across(*a))
+    monkeypatch.setattr(N, "HOT", 4)
+    assert sorted(r.doc_id for r in N.drop_near_copies(docs).collect()) == sorted(set(brute_groups(out)))
+    assert across(*sizes[0]).count() < 400 * 20
 
 
 def test_tiles_lose_no_pair(spark, copies, monkeypatch):
