@@ -3,10 +3,13 @@
 A source takes ``target / size`` copies of each of its documents: a whole number for all, and one more with a
 probability. The probabilities are rounded in pairs. Of two open documents one gives mass and the other takes it, in
 proportion to their sizes, in the one direction or the other, so that one becomes 0 or 1; the direction is drawn so
-that expectations stay, and the words expected of the pair stay exactly. So a source misses its target by less than one document.
+that expectations stay, and the words expected of the pair stay exactly.
 
-The documents of a source are dealt out to leaves of about ``leaf_docs`` by the hash of their id; each leaf
-leaves one open document at most, and up to ``fan_in`` of these meet at each level of a reduction tree, until one is left.
+Long documents come first. They fall into bands by their share of the source's target. The documents of a source and band are dealt
+out to leaves of about ``leaf_docs`` by the hash of their id; each leaf leaves one open document at most, and up to ``fan_in`` of these
+meet at each level of a reduction tree, until one is left. It is paired once more, with all shorter documents of the source as one
+partner: they have one probability in common, which moves a little for all of them. So what stays open at the end is a document of the
+last band, and a source misses its target by less than that, unless its shorter documents are too few to make up for a long one.
 Draws follow the hashes of the two documents, so reruns agree however the work is spread.
 """
 
@@ -26,6 +29,8 @@ FAN_IN = 256
 WEIGHTS = (1, 2, 3)
 #: A source gives its own size so often at most.
 MOST = 3
+#: Documents above these shares of their source's target are rounded before shorter ones.
+BANDS = (0.05, 0.02, 0.01, 0.005, 0.002)
 _EPS = 1e-12
 
 
@@ -121,7 +126,7 @@ def _round_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
-    leaf_docs: int = LEAF_DOCS, fan_in: int = FAN_IN,
+    leaf_docs: int = LEAF_DOCS, fan_in: int = FAN_IN, bands: tuple[float, ...] = BANDS,
 ) -> DataFrame:
     """Per document: doc_id, source, row_hash (of text and source), size (words), source_size, target (its source's), copies, taken
     (copies * size).
@@ -134,36 +139,62 @@ def mix(
     n = partitions(spark)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"), _row_hash(F.col(text), F.col(source)).alias("row_hash"))
     sized = materialize(rows.withColumn("h", F.xxhash64("id", "row_hash", "size")), "sizes")
-    share = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, most)
-    # leaves and levels: powers of fan_in over about leaf_docs rows
-    leaves = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / leaf_docs)).cast("long")
-    share = materialize(share.withColumn("leaves", leaves), "targets")
-    most_leaves = share.agg(F.max("leaves")).first()[0] or 0
-    named = share.withColumnRenamed("source", "s")
-    per_doc = sized.join(named, sized["source"].eqNullSafe(named["s"])).drop("s")
+    share = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), weights, most), "targets")
+    steps = range(len(bands) + 1)
+    named = lambda df: df.withColumnRenamed("source", "s")
+    meet = lambda df, by: df.join(named(by), df["source"].eqNullSafe(F.col("s"))).drop("s")
+    band = F.lit(len(bands))
+    for i in reversed(range(len(bands))):
+        band = F.when(F.col("size") > F.lit(bands[i]) * F.col("target"), i).otherwise(band)
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    whole = F.floor(want + _EPS)
-    opened = per_doc.select(
-        "id", "source", "size", "row_hash", "h", "source_size", "target", F.when(F.col("size") > 0, whole).otherwise(0).cast("long").alias("whole"),
-        F.when(F.col("size") > 0, F.greatest(F.lit(0.0), want - whole)).otherwise(F.lit(0.0)).alias("chance"),
-        F.when(F.col("leaves") > 1, F.pmod(F.xxhash64("h"), F.col("leaves"))).otherwise(F.lit(0)).cast("long").alias("node"),
-    )
-    settle = lambda df, k: df.repartition(k, "source", "node").sortWithinPartitions("source", "node", "h", "id", "size", "row_hash").mapInArrow(_round_groups, opened.schema)
-    is_open = (F.col("chance") > 0) & (F.col("chance") < 1)
-    level = materialize(settle(opened, n), "rounded")
-    done = [level.filter(~is_open)]
-    while most_leaves > 1:
-        most_leaves = -(-most_leaves // fan_in)
-        up = level.filter(is_open).withColumn("node", F.floor(F.col("node") / fan_in).cast("long"))
-        level = materialize(settle(up, n), "rounded")
+    banded = meet(sized, share).select("id", "source", "size", "row_hash", "h", "source_size", "target", want.alias("want"), F.floor(want + _EPS).alias("whole"), band.alias("band"))
+    # one row a source: its probability, the leaves of each band, and the words of all lower bands
+    leaves = lambda i: F.ceil(F.count_if((F.col("band") == i) & (F.col("size") > 0)) / leaf_docs).cast("long").alias(f"leaves{i}")
+    below = lambda i: F.sum(F.when(F.col("band") > i, F.col("size")).otherwise(0)).alias(f"below{i}")
+    chance = F.greatest(F.lit(0.0), F.max(F.col("want") - F.col("whole"))).alias("chance")
+    state = materialize(banded.groupBy("source").agg(chance, *map(leaves, steps), *map(below, steps)), "chances")
+    most_leaves = state.agg(*[F.max(f"leaves{i}") for i in steps]).first()
+    is_open = (F.col("chance") > 0) & (F.col("chance") < 1) & (F.col("size") > 0)
+    fields = ["id", "source", "size", "row_hash", "h", "source_size", "target", "whole", "chance", "node"]
+
+    def settle(df: DataFrame) -> DataFrame:
+        sorted_ = df.repartition(n, "source", "node").sortWithinPartitions("source", "node", "h", "id", "size", "row_hash")
+        return materialize(sorted_.mapInArrow(_round_groups, df.schema), "rounded")
+
+    done = []
+    for i in steps:
+        node = F.when(F.col("leaves") > 1, F.pmod(F.xxhash64("h"), F.col("leaves"))).otherwise(F.lit(0)).cast("long").alias("node")
+        own = meet(banded.filter(F.col("band") == i), state.select("source", "chance", F.col(f"leaves{i}").alias("leaves")))
+        counted = lambda c: F.when(F.col("size") > 0, F.col(c)).otherwise(0)
+        level = own.select("id", "source", "size", "row_hash", "h", "source_size", "target", counted("whole").cast("long").alias("whole"), counted("chance").cast("double").alias("chance"), node)
+        width = most_leaves[i] or 0
         done.append(level.filter(~is_open))
-    # one open document a source is left: a draw of its own
-    last = level.filter(is_open)
-    lot = (F.xxhash64("h", F.lit("last")).cast("double") / 2.0**64) + 0.5
-    done.append(last.withColumn("chance", F.when(lot < F.col("chance"), 1.0).otherwise(0.0)))
-    out = done[0]
+        if not width:
+            continue
+        level = settle(level.filter(is_open))
+        while width > 1:
+            done.append(level.filter(~is_open))
+            width = -(-width // fan_in)
+            level = settle(level.filter(is_open).withColumn("node", F.floor(F.col("node") / fan_in).cast("long")))
+        done.append(level.filter(~is_open))
+        last = level.filter(is_open)
+        if i < len(bands):
+            # the open document of each source, against all shorter ones as a partner of one probability
+            rest = state.select(
+                F.lit(None).cast(level.schema["id"].dataType).alias("id"), "source", F.col(f"below{i}").alias("size"), F.lit(0).cast("long").alias("row_hash"), F.xxhash64("source", F.lit(i)).alias("h"),
+                F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(-1).cast("long").alias("whole"), "chance", F.lit(0).cast("long").alias("node"),
+            )
+            met = settle(last.withColumn("node", F.lit(0).cast("long")).select(*fields).unionByName(rest))
+            moved = met.filter("whole = -1").select("source", F.col("chance").alias("moved"))
+            state = materialize(meet(state.drop("chance"), moved).withColumnRenamed("moved", "chance"), "chances")
+            done.append(met.filter("whole >= 0").filter(~is_open))
+            last = met.filter("whole >= 0").filter(is_open)
+        # what is still open has no open partner left: a draw of its own
+        lot = (F.xxhash64("h", F.lit("last")).cast("double") / 2.0**64) + 0.5
+        done.append(last.withColumn("chance", F.when(lot < F.col("chance"), 1.0).otherwise(0.0)))
+    out = done[0].select(*fields)
     for x in done[1:]:
-        out = out.unionByName(x)
+        out = out.unionByName(x.select(*fields))
     copies = (F.col("whole") + F.col("chance").cast("long")).alias("copies")
     return out.select(F.col("id").alias(doc_id), "source", "row_hash", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"))
 

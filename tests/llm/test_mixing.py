@@ -80,3 +80,18 @@ def test_repeat_documents_keeps_columns_and_counts(odd_docs):
     mixed = M.mix(odd_docs)
     out = M.repeat_documents(odd_docs, mixed)
     assert out.columns == odd_docs.columns and out.count() == mixed.agg(F.sum("copies")).first()[0]
+
+
+def test_long_documents_are_made_up_for_by_shorter_ones(spark):
+    sizes = {"a": [20000, 9000, 4000] + [10 + i % 90 for i in range(2000)], "b": [10 + i % 40 for i in range(3000)], "c": [30] * 400 + [2500]}
+    rows = [(i, "w " * n, s) for i, (s, n) in enumerate((s, n) for s, own in sizes.items() for n in own)]
+    mixed = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), leaf_docs=64, fan_in=4)
+    for s, target, taken in mixed.groupBy("source").agg(F.max("target"), F.sum("taken")).collect():
+        assert abs(taken / target - 1) < 0.005, s
+    assert mixed.filter("taken > 3 * size").count() == 0
+
+
+def test_a_source_of_one_document_draws_lots(spark):
+    docs = spark.createDataFrame([(i, "w " * (1000 + i), f"s{i % 50:02d}") for i in range(50)], "doc_id long, text string, source string")
+    check(docs, M.mix(docs))
+    assert {r.copies for r in M.mix(docs).collect()} <= {0, 1, 2, 3}
