@@ -5,7 +5,7 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,11 @@ JS_RAW_BYTES, JS_TEXT_BYTES, JS_SCRIPT_SHARE = 1024, 200, 0.5
 IPV4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])$"
 
 
+def policies(spark: SparkSession) -> DataFrame:
+    """The presets as a table, to be joined by name."""
+    return spark.createDataFrame(POLICIES, "policy string, schemes array<string>, max_redirects int, allow_private boolean")
+
+
 def is_ipv4(address: Column) -> Column:
     return F.rlike(address, F.lit(IPV4))
 

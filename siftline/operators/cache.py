@@ -15,6 +15,20 @@ def latest(artifacts: DataFrame, key: str = "key") -> DataFrame:
     return artifacts.groupBy(key).agg(F.max_by(F.struct("value", "written_at"), F.col("written_at")).alias("r")).select(key, "r.*")
 
 
+def upsert(artifacts: DataFrame, writes: DataFrame, key: str = "key") -> DataFrame:
+    """The artifacts after the writes: of each key the last write."""
+    return latest(artifacts.select(key, "value", "written_at").unionByName(writes.select(key, "value", "written_at")), key)
+
+
+def insert_and_sweep(entries: DataFrame, fetched: DataFrame, now, ttl_seconds: int = TTL_SECONDS, key: str = "origin") -> DataFrame:
+    """A table of robots rules (key, value, written_at) after an insert at ``now``. Entries of the lifetime's age or older are swept out, failures
+    (a null value) are kept like any other, and what is fetched anew replaces what was there."""
+    young = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("written_at").cast("timestamp")) < ttl_seconds * 1_000_000
+    fresh = fetched.select(key, "value", now.cast("timestamp").alias("written_at")).dropDuplicates([key])
+    kept = entries.select(key, "value", "written_at").filter(young).join(fresh.select(key), key, "left_anti")
+    return kept.unionByName(fresh)
+
+
 def lookup(requests: DataFrame, artifacts: DataFrame, as_of, ttl_seconds: int = TTL_SECONDS, key: str = "key") -> DataFrame:
     """Requests with the artifact that is valid at as_of, and whether there is one."""
     valid = latest(artifacts, key).filter(F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("written_at").cast("timestamp")) <= ttl_seconds * 1_000_000)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import search, search_queries, service_queries, text_queries  # noqa: F401  (they register themselves)
+from . import request_queries, search, search_queries, service_queries, text_queries  # noqa: F401  (they register themselves)
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -1,11 +1,11 @@
-"""Language-model connectors (S15, A16, F30): a call for each row through an injected callable."""
+"""Language-model connectors (S15, A16): a call for each row through an injected callable."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RESULT = "key long, provider string, summary string, prompt_tokens long, completion_tokens long, reasoning_tokens long, error string"
@@ -42,8 +42,3 @@ def usage(results: DataFrame) -> DataFrame:
     """A16."""
     sums = [F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "reasoning_tokens")]
     return results.groupBy("provider").agg(F.count("*").alias("calls"), *sums, F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"))
-
-
-def choose(requested: Column, default: Column) -> Column:
-    """the request's value if it is set."""
-    return F.coalesce(requested, default)

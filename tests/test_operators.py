@@ -9,8 +9,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.functions import dates, intent, policy, text, urls
-from siftline.operators import chunks, content, dedupe, fusion, metrics, rank
+from siftline.functions import dates, intent, policy, requests, text, urls
+from siftline.operators import cache, chunks, content, dedupe, fusion, metrics, rank
 from siftline.sources import extract, hits, metasearch, robots, summarize
 from siftline.streaming import state
 
@@ -330,3 +330,23 @@ def test_clusters_need_a_shared_folder(spark):
     for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
         with pytest.raises(ValueError):
             checkpoint_folder(context(master))
+
+
+def test_request_gates_defaults_and_caps(spark):
+    gate = lambda **v: one(spark, requests.option_error(F.col("a"), F.col("r").cast("boolean"), F.col("p").cast("string")), **v)
+    assert gate(a=False, r=False, p=None).startswith("forbidden: respect_robots") and gate(a=False, r=None, p="x").startswith("forbidden: proxy_url")
+    assert gate(a=True, r=False, p="x") is None and gate(a=False, r=True, p="") is None and gate(a=False, r=None, p=None) is None
+    thinking = F.struct(F.lit(True).alias("enabled"), F.lit(10).alias("budget_tokens"), F.lit("").alias("effort"))
+    asked = lambda t: requests.request_error(F.lit("m"), F.lit("p"), F.lit(None).cast("int"), t)
+    assert one(spark, asked(thinking), x0=1) == "thinking.budget_tokens must be >= 1024 (got 10)" and one(spark, asked(F.lit(None).cast("struct<enabled:boolean,budget_tokens:int>")), x0=1) is None
+    assert one(spark, requests.choose_text(F.col("a"), F.col("b")), a=" \n", b="d") == "d" and one(spark, requests.choose_positive(F.col("a").cast("int"), F.col("b")), a=None, b=3) == 3
+    assert one(spark, requests.first_set(F.col("a").cast("string"), F.col("b")), a=None, b="") == ""
+
+
+def test_robots_entries_expire_at_their_lifetime_and_failures_are_kept(spark):
+    rows = [("a", "old", "2024-01-01 00:00:00"), ("b", "young", "2024-01-01 00:00:01"), ("c", "stale", "2024-01-01 00:30:00"), ("d", None, "2024-01-01 00:30:00")]
+    entries = spark.createDataFrame(rows, "origin string, value string, at string").select("origin", "value", F.col("at").cast("timestamp").alias("written_at"))
+    fetched = spark.createDataFrame([("c", None)], "origin string, value string")
+    out = cache.insert_and_sweep(entries, fetched, F.lit("2024-01-01 01:00:00").cast("timestamp"))
+    assert sorted((r.origin, r.value) for r in out.collect()) == [("b", "young"), ("c", None), ("d", None)]
+    assert cache.insert_and_sweep(entries.limit(0), fetched.limit(0), F.lit("2024-01-01 01:00:00").cast("timestamp")).count() == 0
