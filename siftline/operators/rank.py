@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intent, urls
 from ..functions.text import rank_tokens
+from ..session import cut
 
 #: Fixed values.
 K1, B, TITLE_WEIGHT, ENGINE_BONUS_MAX = 1.5, 0.75, 2.0, 0.25
@@ -60,7 +61,7 @@ def inverse_document_frequencies(frequencies: DataFrame, stats: DataFrame) -> Da
 
 def bm25(candidates: DataFrame, key: str) -> DataFrame:
     """(query_id, key, bm25) of every candidate; repeated query tokens count again, documents without a term score 0."""
-    profile = token_profile(candidates, key)
+    profile = cut(token_profile(candidates, key))  # read four times below
     frequencies = term_frequencies(profile, key)
     idf = inverse_document_frequencies(frequencies, corpus_stats(profile)).join(query_terms(candidates), ["query_id", "term"])
     part = F.col("repeats") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_len")))
