@@ -13,25 +13,34 @@ from .registry import query
 
 # request options by the digits of an order's key -------------------------------------------------------------------
 
-_K = F.col("o_orderkey")
-_when = lambda n, r, x: F.when(_K % n == r, x)
-_ADMIN = _K % 2 == 0
 _SQL_ADMIN = "o_orderkey % 2 = 0"
 
 
+def _key() -> Column:
+    return F.col("o_orderkey")
+
+
+def _admin() -> Column:
+    return _key() % 2 == 0
+
+
+def _when(n: int, r: int, x: object) -> Column:
+    return F.when(_key() % n == r, x)
+
+
 @query(
     "option_gates",
     f"""WITH r AS (SELECT o_orderkey, {_SQL_ADMIN} AS admin, CASE o_orderkey % 3 WHEN 0 THEN false WHEN 1 THEN true END AS robots, CASE o_orderkey % 5 WHEN 0 THEN 'http://proxy' WHEN 1 THEN '' END AS proxy FROM orders)
     SELECT o_orderkey, CASE WHEN admin THEN NULL WHEN robots IS NOT DISTINCT FROM false THEN 'forbidden: respect_robots=false requires admin key' WHEN proxy <> '' THEN 'forbidden: proxy_url requires admin key' END AS error FROM r""",
 )
 def option_gates(spark: SparkSession, folder: str) -> DataFrame:
-    robots, proxy = _when(3, 0, False).when(_K % 3 == 1, True), _when(5, 0, "http://proxy").when(_K % 5 == 1, "")
-    return table(spark, folder, "orders").select("o_orderkey", requests.option_error(_ADMIN, robots, proxy).alias("error"))
+    robots, proxy = _when(3, 0, False).when(_key() % 3 == 1, True), _when(5, 0, "http://proxy").when(_key() % 5 == 1, "")
+    return table(spark, folder, "orders").select("o_orderkey", requests.option_error(_admin(), robots, proxy).alias("error"))
 
 
 def _thinking() -> Column:
-    made = F.struct((_K % 4 == 1).alias("enabled"), ((_K % 23) * 100).cast("int").alias("budget_tokens"), F.lit("low").alias("effort"))
-    return F.when(_K % 4 != 0, made)
+    made = F.struct((_key() % 4 == 1).alias("enabled"), ((_key() % 23) * 100).cast("int").alias("budget_tokens"), F.lit("low").alias("effort"))
+    return F.when(_key() % 4 != 0, made)
 
 
 _SQL_BUDGET = "CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey % 23) * 100 END"
@@ -48,8 +57,8 @@ _SQL_SMALL = f"o_orderkey % 4 = 1 AND {_SQL_BUDGET} BETWEEN 1 AND 1023"
 )
 def override_validation(spark: SparkSession, folder: str) -> DataFrame:
     """Thinking may be overridden by all keys, model and provider by admins."""
-    model, provider = _when(7, 0, "m").when(_K % 7 == 1, " "), _when(11, 0, "p")
-    error = requests.override_error(_ADMIN, model, provider, _thinking(), _K % 3000 - 100, (_K % 13 - 1) * 15000, F.col("o_orderpriority"), ["thinking"], 2000, 120_000, 10)
+    model, provider = _when(7, 0, "m").when(_key() % 7 == 1, " "), _when(11, 0, "p")
+    error = requests.override_error(_admin(), model, provider, _thinking(), _key() % 3000 - 100, (_key() % 13 - 1) * 15000, F.col("o_orderpriority"), ["thinking"], 2000, 120_000, 10)
     return table(spark, folder, "orders").select("o_orderkey", error.alias("error"))
 
 
@@ -64,8 +73,8 @@ def override_validation(spark: SparkSession, folder: str) -> DataFrame:
 def request_validation(spark: SparkSession, folder: str) -> DataFrame:
     model, signed = _when(5, 0, "\t").otherwise("m"), _when(11, 0, -1).otherwise(1)
     request = requests.request_error(model, _when(7, 0, "\n").otherwise(F.col("o_orderpriority")), signed, _thinking())
-    base = _when(3, 1, "file:///etc/hosts").when(_K % 9 == 2, "https:///v1").when(_K % 3 == 0, "").otherwise("https://host/v1")
-    kind = _when(7, 1, "other").when(_K % 2 == 0, "openai").otherwise("anthropic")
+    base = _when(3, 1, "file:///etc/hosts").when(_key() % 9 == 2, "https:///v1").when(_key() % 3 == 0, "").otherwise("https://host/v1")
+    kind = _when(7, 1, "other").when(_key() % 2 == 0, "openai").otherwise("anthropic")
     provider = requests.provider_error(_when(5, 1, "").otherwise("n"), kind, model, base, signed, _thinking())
     return table(spark, folder, "orders").select("o_orderkey", request.alias("request_error"), provider.alias("provider_error"))
 
@@ -78,10 +87,10 @@ def request_validation(spark: SparkSession, folder: str) -> DataFrame:
 )
 def chosen_settings(spark: SparkSession, folder: str) -> DataFrame:
     default = F.struct(F.lit(True).alias("enabled"), F.lit(4096).alias("budget_tokens"), F.lit("high").alias("effort"))
-    model = requests.choose_text(_when(3, 0, F.col("o_orderstatus")).when(_K % 3 == 1, " \t"), F.lit("default"))
-    tokens = requests.choose_positive(F.col("o_custkey") % 3 + _K % 4 - 1, F.lit(100))
+    model = requests.choose_text(_when(3, 0, F.col("o_orderstatus")).when(_key() % 3 == 1, " \t"), F.lit("default"))
+    tokens = requests.choose_positive(F.col("o_custkey") % 3 + _key() % 4 - 1, F.lit(100))
     price = F.col("o_totalprice").cast("double")
-    title = requests.first_set(_when(3, 0, F.col("o_orderstatus")).when(_K % 3 == 1, ""), _when(3, 1, F.col("o_orderpriority")))
+    title = requests.first_set(_when(3, 0, F.col("o_orderstatus")).when(_key() % 3 == 1, ""), _when(3, 1, F.col("o_orderpriority")))
     rows = table(spark, folder, "orders").select(
         "o_orderkey", model.alias("model"), tokens.alias("max_tokens"), requests.choose_positive(price - 100000, F.lit(0.5)).alias("temperature"), requests.merge_thinking(_thinking(), default).alias("t"), title.alias("title")
     )
