@@ -74,9 +74,11 @@ def apply_artifact(results: DataFrame, blob: str) -> DataFrame:
     return apply_content(results.withColumn("content", F.from_json(blob, CONTENT)))
 
 
-def merge_auto_render(results: DataFrame, rendered: DataFrame, key: str = "canonical") -> DataFrame:
-    """Rows that need scripts take the rendered page's content where there is one, unless that needs scripts too."""
-    fresh = rendered.select(F.col(key), F.col("content").alias("_rendered")).filter("_rendered.unsupported_reason is null or _rendered.unsupported_reason <> 'js_required'")
+def merge_auto_render(results: DataFrame, rendered: DataFrame, key: str = "canonical", order: str = "pos") -> DataFrame:
+    """Rows that need scripts take the rendered page's content where there is one, unless that needs scripts too. Of several
+    renders of a key the first in the order counts, so a result stays one row; results without a key take none."""
+    fresh = rendered.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by("content", order).alias("_rendered"))
+    fresh = fresh.filter("_rendered.unsupported_reason is null or _rendered.unsupported_reason <> 'js_required'")
     both = results.join(fresh, key, "left")
     use = (F.col("unsupported") == "js_required") & F.col("_rendered").isNotNull()
     return apply_rendered_content(both.withColumn("_use", F.when(use, F.col("_rendered"))), "_use").withColumn("content", F.coalesce("_use", "content")).drop("_use", "_rendered")
