@@ -33,18 +33,18 @@ def fuse(hits: DataFrame, cap: int | None = None) -> DataFrame:
 
     hits: query_id, variant, variant_ord, rank, url, title, snippet, engines, published_at, metadata. The score sums 1/(60 + rank)
     over all appearances. Title and snippet are the first that are not empty, published_at the first that is known, engines an
-    ordered union, metadata first-wins with rrf_score, rrf_variants and rrf_original_rank put in. Order: score,
-    first appearance, URL.
+    ordered union, metadata first-wins with rrf_score, rrf_variants (each once) and rrf_original_rank put in; appearances holds the
+    variant of each appearance, in order. Order: score, first appearance, URL.
     """
     hits = hits.withColumn("key", F.coalesce(canonical_url(F.col("url")), F.col("url")))
     order = ["variant_ord", "rank"]
     at = F.struct(*order)
-    labels = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(*order, "variant"))), lambda r: r["variant"]))
+    labels = F.transform(F.array_sort(F.collect_list(F.struct(*order, "variant"))), lambda r: r["variant"])
     fused = hits.groupBy("query_id", F.col("key").alias("url")).agg(
         F.sum(1 / (RRF_CONSTANT + F.col("rank"))).alias("score"), F.min(at).alias("first_seen"), first_in_order(F.col("title"), at, F.col("title") != "").alias("title"),
         first_in_order(F.col("snippet"), at, F.col("snippet") != "").alias("snippet"), first_in_order(F.col("published_at"), at, F.col("published_at").isNotNull()).alias("published_at"),
-        ordered_distinct("engines", order).alias("engines"), first_wins("metadata", order).alias("merged"), labels.alias("variants"),
-    )
+        ordered_distinct("engines", order).alias("engines"), first_wins("metadata", order).alias("merged"), labels.alias("appearances"),
+    ).withColumn("variants", F.array_distinct("appearances"))
     extra = F.create_map(
         F.lit("rrf_score"), F.format_string("%.6f", "score"), F.lit("rrf_variants"), F.array_join("variants", ","), F.lit("rrf_original_rank"), F.col("first_seen.rank").cast("string")
     )

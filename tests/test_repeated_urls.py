@@ -31,3 +31,8 @@ def compare(spark, folder, name):
 def test_a_render_of_several_is_taken_once(spark, folder):
     rows = compare(spark, folder, "auto_render_merge")
     assert len(rows) == 199 and any(title.startswith("rendered") for _, title, _ in rows)
+
+
+def test_variants_of_all_appearances(spark, folder):
+    rows = compare(spark, folder, "rrf_metadata")
+    assert any(r[3].count("original") > 1 for r in rows)
