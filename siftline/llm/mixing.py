@@ -18,10 +18,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, partitions, take_rows
+from .common import discard, materialize, partitions, scratch, take_rows
 
 LEAF_DOCS = 512
 FAN_IN = 256
@@ -62,14 +63,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     start = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.shiftright("mid", 33)) if starts else F.lit(0)
     place = (start + F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))) % len(weights)
     weight = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (place + 1).cast("int"))
-    open_ = materialize(marked.select("source", "source_size", "n_docs", weight.alias("weight"), F.lit(False).alias("full")), "weights")
-    total = open_.agg(F.sum("source_size")).first()[0] or 0
+    open_ = marked.select("source", "source_size", "n_docs", weight.alias("weight"), F.lit(False).alias("full"))
     while True:
-        left = open_.agg(F.sum(F.when(F.col("full"), F.col("source_size") * most)).alias("given"), F.sum(F.when(~F.col("full"), F.col("weight"))).alias("weight")).first()
-        given, divisor = left.given or 0, left.weight or 1
-        share = F.lit(float(total - given)) * F.col("weight") / F.lit(float(divisor))
+        left = open_.agg(F.sum("source_size").alias("total"), F.sum(F.when(F.col("full"), F.col("source_size") * most)).alias("given"), F.sum(F.when(~F.col("full"), F.col("weight"))).alias("weight"), F.count_if("full").alias("n")).first()
+        share = F.lit(float((left.total or 0) - (left.given or 0))) * F.col("weight") / F.lit(float(left.weight or 1))
         more = open_.withColumn("full", F.col("full") | (share > F.col("source_size") * most))
-        if more.filter("full").count() == open_.filter("full").count():
+        if more.filter("full").count() == left.n:
             break
         done, open_ = open_, materialize(more, "weights")
         discard(done)
@@ -97,21 +96,22 @@ def pivot(p: float, size_p: int, q: float, size_q: int, draw: float) -> tuple[fl
 
 
 def _round_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in the order (source, node, hash ...): each group ends with one open row at most."""
+    """Rows in the order (source, node, ...): each group ends with one open row at most. Rows that are not open pass."""
     schema, group, held = None, None, None
-    out: list[tuple] = []
     for batch in batches:
         schema = batch.schema
         source, node, h, chance, size = (schema.get_field_index(c) for c in ("source", "node", "h", "chance", "size"))
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
+        p = batch.column(chance)
+        is_open = pc.and_(pc.and_(pc.greater(p, 0.0), pc.less(p, 1.0)), pc.greater(batch.column(size), 0))
+        yield batch.filter(pc.invert(is_open))
+        out: list[tuple] = []
+        for row in zip(*(c.to_pylist() for c in batch.filter(is_open).columns)):
             if (row[source], row[node]) != group:
                 if held:
                     out.append(tuple(held))
                 group, held = (row[source], row[node]), None
             row = list(row)
-            if not 0 < row[chance] < 1 or not row[size]:
-                out.append(tuple(row))
-            elif held is None:
+            if held is None:
                 held = row
             else:
                 held[chance], row[chance] = pivot(held[chance], held[size], row[chance], row[size], _uniform(held[h], row[h]))
@@ -119,7 +119,6 @@ def _round_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 held = next((x for x in (held, row) if 0 < x[chance] < 1), None)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], names=schema.names)
-            out = []
     if held:
         yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(held, schema)], names=schema.names)
 
@@ -147,7 +146,8 @@ def mix(
     for i in reversed(range(len(bands))):
         band = F.when(F.col("size") > F.lit(bands[i]) * F.col("target"), i).otherwise(band)
     want = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    banded = meet(sized, share).select("id", "source", "size", "row_hash", "h", "source_size", "target", want.alias("want"), F.floor(want + _EPS).alias("whole"), band.alias("band"))
+    banded = meet(sized, share).select("id", "source", "size", "row_hash", "h", "source_size", "target", want.alias("want"), F.floor(want + _EPS).cast("long").alias("whole"), band.alias("band"))
+    banded = materialize(banded, "banded")
     # one row a source: its probability, the leaves of each band, and the words of all lower bands
     leaves = lambda i: F.ceil(F.count_if((F.col("band") == i) & (F.col("size") > 0)) / leaf_docs).cast("long").alias(f"leaves{i}")
     below = lambda i: F.sum(F.when(F.col("band") > i, F.col("size")).otherwise(0)).alias(f"below{i}")
@@ -156,45 +156,48 @@ def mix(
     most_leaves = state.agg(*[F.max(f"leaves{i}") for i in steps]).first()
     is_open = (F.col("chance") > 0) & (F.col("chance") < 1) & (F.col("size") > 0)
     fields = ["id", "source", "size", "row_hash", "h", "source_size", "target", "whole", "chance", "node"]
-
-    def settle(df: DataFrame) -> DataFrame:
-        sorted_ = df.repartition(n, "source", "node").sortWithinPartitions("source", "node", "h", "id", "size", "row_hash")
-        return materialize(sorted_.mapInArrow(_round_groups, df.schema), "rounded")
-
-    done = []
+    wordless = banded.filter("size = 0").withColumns({"whole": F.lit(0).cast("long"), "chance": F.lit(0.0), "node": F.lit(0).cast("long")}).select(*fields)
+    rounded: list[str] = []
+
+    def settle(df: DataFrame, last: bool) -> DataFrame:
+        """The rows of df, rounded; a document that has no open partner left at the last level gets a draw of its own."""
+        sorted_ = df.repartition(n, "source", "node").sortWithinPartitions("source", "node", F.col("whole") < 0, "h", "id", "size", "row_hash")
+        out = sorted_.mapInArrow(_round_groups, df.schema)
+        if last:
+            lot = (F.xxhash64("h", F.lit("last")).cast("double") / 2.0**64) + 0.5
+            out = out.withColumn("chance", F.when(is_open & (F.col("whole") >= 0), F.when(lot < F.col("chance"), 1.0).otherwise(0.0)).otherwise(F.col("chance")))
+        rounded.append(scratch(spark, "rounded"))
+        out.write.parquet(rounded[-1])
+        return spark.read.schema(df.schema).parquet(rounded[-1])
+
+    chances = state.select("source", "chance")
     for i in steps:
-        node = F.when(F.col("leaves") > 1, F.pmod(F.xxhash64("h"), F.col("leaves"))).otherwise(F.lit(0)).cast("long").alias("node")
-        own = meet(banded.filter(F.col("band") == i), state.select("source", "chance", F.col(f"leaves{i}").alias("leaves")))
-        counted = lambda c: F.when(F.col("size") > 0, F.col(c)).otherwise(0)
-        level = own.select("id", "source", "size", "row_hash", "h", "source_size", "target", counted("whole").cast("long").alias("whole"), counted("chance").cast("double").alias("chance"), node)
         width = most_leaves[i] or 0
-        done.append(level.filter(~is_open))
         if not width:
             continue
-        level = settle(level.filter(is_open))
-        while width > 1:
-            done.append(level.filter(~is_open))
+        node = F.when(F.col("leaves") > 1, F.pmod(F.xxhash64("h"), F.col("leaves"))).otherwise(F.lit(0)).cast("long").alias("node")
+        now = meet(state.drop("chance"), chances).select("source", "chance", F.col(f"leaves{i}").alias("leaves"), F.col(f"below{i}").alias("below"))
+        level = meet(banded.filter((F.col("band") == i) & (F.col("size") > 0)), now.drop("below")).select(*fields[:-1], node)
+        while True:
+            last = width <= 1
+            if last and i < len(bands):
+                # all shorter documents of a source, as one partner of one probability, after its own
+                rest = now.select(
+                    F.lit(None).cast(level.schema["id"].dataType).alias("id"), "source", F.col("below").alias("size"), F.lit(0).cast("long").alias("row_hash"), F.xxhash64("source", F.lit(i)).alias("h"),
+                    F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(-1).cast("long").alias("whole"), "chance", F.lit(0).cast("long").alias("node"),
+                )
+                level = level.unionByName(rest)
+            level = settle(level, last)
+            if last:
+                break
             width = -(-width // fan_in)
-            level = settle(level.filter(is_open).withColumn("node", F.floor(F.col("node") / fan_in).cast("long")))
-        done.append(level.filter(~is_open))
-        last = level.filter(is_open)
+            level = level.filter(is_open).withColumn("node", F.floor(F.col("node") / fan_in).cast("long"))
         if i < len(bands):
-            # the open document of each source, against all shorter ones as a partner of one probability
-            rest = state.select(
-                F.lit(None).cast(level.schema["id"].dataType).alias("id"), "source", F.col(f"below{i}").alias("size"), F.lit(0).cast("long").alias("row_hash"), F.xxhash64("source", F.lit(i)).alias("h"),
-                F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(-1).cast("long").alias("whole"), "chance", F.lit(0).cast("long").alias("node"),
-            )
-            met = settle(last.withColumn("node", F.lit(0).cast("long")).select(*fields).unionByName(rest))
-            moved = met.filter("whole = -1").select("source", F.col("chance").alias("moved"))
-            state = materialize(meet(state.drop("chance"), moved).withColumnRenamed("moved", "chance"), "chances")
-            done.append(met.filter("whole >= 0").filter(~is_open))
-            last = met.filter("whole >= 0").filter(is_open)
-        # what is still open has no open partner left: a draw of its own
-        lot = (F.xxhash64("h", F.lit("last")).cast("double") / 2.0**64) + 0.5
-        done.append(last.withColumn("chance", F.when(lot < F.col("chance"), 1.0).otherwise(0.0)))
-    out = done[0].select(*fields)
-    for x in done[1:]:
-        out = out.unionByName(x.select(*fields))
+            chances = level.filter("whole = -1").select("source", "chance")
+    # a document stands closed in the table of one level alone
+    out = wordless
+    if rounded:
+        out = out.unionByName(spark.read.schema(level.schema).parquet(*rounded).filter(~is_open & (F.col("whole") >= 0)))
     copies = (F.col("whole") + F.col("chance").cast("long")).alias("copies")
     return out.select(F.col("id").alias(doc_id), "source", "row_hash", "size", "source_size", "target", copies, (copies * F.col("size")).alias("taken"))
 

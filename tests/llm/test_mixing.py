@@ -95,3 +95,10 @@ def test_a_source_of_one_document_draws_lots(spark):
     docs = spark.createDataFrame([(i, "w " * (1000 + i), f"s{i % 50:02d}") for i in range(50)], "doc_id long, text string, source string")
     check(docs, M.mix(docs))
     assert {r.copies for r in M.mix(docs).collect()} <= {0, 1, 2, 3}
+
+
+def test_the_plan_of_a_mix_is_scans_of_what_was_rounded(odd_docs):
+    """What its driver compiles and broadcasts does not grow with bands and levels: before, each gave joins of its own."""
+    mixed = M.mix(odd_docs, leaf_docs=3, fan_in=2)
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation") <= 2
