@@ -3,7 +3,7 @@
 At that similarity the fingerprints of two sets differ in 10 bits on average, far more than choices of blocks can bear. The groups
 to compare therefore come from the shingles: two such sets share one of the first ``n - ceil(0.8 n) + 1`` shingles of each, in any
 order that is the same for all. The order is by a rough frequency, then by hash, so shingles of common lines come last; the
-frequency is of a sample and decides on speed alone. Within a group fingerprints are compared bit-sliced, and pairs at
+frequency is of all texts, counted in buckets of hashes, and decides on speed alone. Within a group fingerprints are compared bit-sliced, and pairs at
 RADIUS bits or fewer are confirmed by their shingles. Of the bits of two sets at 0.8, each differs with a probability of 0.15, and
 of 0.19 for sets of five shingles, so a pair is over the radius less often than once in a million.
 
@@ -34,11 +34,12 @@ from .simhash import FINISH_LINKS, LOWER, by_size, close_pairs, components, fing
 SHINGLE_WORDS = 5
 #: Bits in which the fingerprints of similar sets differ at most.
 RADIUS = 28
-#: Buckets of the rough frequencies; one text in SAMPLE is counted.
+#: Buckets of the rough frequencies.
 BUCKET_BITS = 20
-SAMPLE = 16
-#: Sampled texts that make a shingle hot.
-HOT = 64
+#: Buckets of a row in which tasks pass on what they counted.
+SLICE = 1 << 14
+#: Texts that make a shingle hot.
+HOT = 1024
 #: Sets of a tile.
 TILE = 2048
 _SIGNATURE = "struct<key: bigint, fp: bigint, n: int, prefix: array<bigint>>"
@@ -92,19 +93,33 @@ def _bucket(shingles: np.ndarray) -> np.ndarray:
 
 
 def _frequencies(docs: DataFrame, text: str) -> np.ndarray:
+    """Shingles of each bucket, over the sets of all texts. Tasks pass on slices of counts, 8 MB each before compression."""
+
+    def slices(total: np.ndarray) -> pa.RecordBatch:
+        parts = total.reshape(-1, SLICE)
+        used = np.flatnonzero(parts.any(axis=1))
+        return pa.RecordBatch.from_pydict({"slice": pa.array(used, pa.int32()), "n": pa.array([parts[i].tobytes() for i in used], pa.binary())})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
                 np.add.at(total, _bucket(shingle_set(t)), 1)
-        bucket = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"bucket": bucket, "n": total[bucket]})
-
-    sample = docs.filter(F.xxhash64(text) % SAMPLE == 0).select(text)
-    found = sample.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << BUCKET_BITS, np.int64)
-    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    return out
+        yield slices(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64).reshape(-1, SLICE)
+        for b in batches:
+            for i, n in zip(b.column("slice").to_pylist(), b.column("n").to_pylist()):
+                total[i] += np.frombuffer(n, np.int64)
+        yield slices(total.reshape(-1))
+
+    counted = docs.select(text).mapInArrow(count, "slice int, n binary")
+    found = counted.repartition(partitions(docs.sparkSession), "slice").mapInArrow(add, "slice int, n binary").toArrow()
+    out = np.zeros(1 << BUCKET_BITS, np.int64).reshape(-1, SLICE)
+    for i, n in zip(found.column("slice").to_pylist(), found.column("n").to_pylist()):
+        out[i] += np.frombuffer(n, np.int64)
+    return out.reshape(-1)
 
 
 def _signatures(docs: DataFrame, doc_id: str, text: str, common: Broadcast[np.ndarray]) -> DataFrame:

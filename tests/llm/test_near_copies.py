@@ -111,3 +111,12 @@ def test_odd_documents(odd_docs, no_docs):
     assert out.columns == odd_docs.columns
     assert out.count() == len(set(brute_groups([r.text for r in odd_docs.select("text").collect()])))
     assert N.drop_near_copies(no_docs).count() == 0
+
+
+def test_frequencies_count_every_text(spark, copies):
+    docs = spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string").repartition(3)
+    want = np.zeros(1 << N.BUCKET_BITS, np.int64)
+    for t in copies:
+        np.add.at(want, N._bucket(N.shingle_set(t)), 1)
+    assert (N._frequencies(docs, "text") == want).all() and want.sum() > 1000
+    assert not N._frequencies(docs.limit(0), "text").any()
